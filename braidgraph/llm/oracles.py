@@ -55,3 +55,17 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(component_id) FROM reac
        (SELECT count(*) FROM links WHERE links.a = sets.doc_id) AS n_links
 FROM sets
 """
+
+OP8 = rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
+starts AS (SELECT doc_id, r, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+grams AS (SELECT doc_id, r, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS g FROM starts),
+firsts AS (SELECT doc_id, r, i, min(doc_id) OVER (PARTITION BY g) AS first FROM grams),
+gone AS (SELECT DISTINCT r, i + k AS p, true AS lost FROM firsts, range(50) AS x(k) WHERE doc_id > first),
+places AS (SELECT doc_id, r, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT r, coalesce(string_agg(ws[p], ' ' ORDER BY p) FILTER (WHERE lost IS NULL), '') AS t, count(*) FILTER (WHERE lost) AS n_removed
+  FROM places LEFT JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidgraph.llm import ngram_join, oracles, packing, quality_rules
+from braidgraph.llm import ngram_join, oracles, packing, quality_rules, substring_dedup
 from braidgraph.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"), length=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=1024)
 
@@ -26,9 +31,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op7_ngram_join": op7_ngram_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracles.OP3,
     "op7_ngram_join": oracles.OP7,
+    "op8_substring_dedup": oracles.OP8,
 }
