@@ -69,3 +69,24 @@ kept AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (r)
 """
+
+OP1 = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(text, chr(10)) AS ls FROM documents),
+each AS (SELECT doc_id, r, p, ls[p] AS line, list_transform(regexp_extract_all(ls[p], '[^\x20\x09-\x0D]+'),
+                lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ws
+         FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS p FROM docs)),
+lines AS (SELECT *, array_to_string(ws, ' ') AS k, len(ws) || ' ' || array_to_string(ws[1:3], ' ') AS leaf FROM each WHERE len(ws) > 0),
+kinds AS (SELECT k, any_value(leaf) AS leaf, any_value(ws) AS ws, count(DISTINCT doc_id) AS docs FROM lines GROUP BY k),
+leaves AS (SELECT leaf FROM kinds WHERE len(ws) >= 8 GROUP BY leaf HAVING sum(docs) >= 10 AND count(*) > 1),
+places AS (SELECT k, leaf, len(ws) AS n, docs, ws[p] AS w, p FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM kinds SEMI JOIN leaves USING (leaf))),
+common AS (SELECT leaf, p, w FROM places GROUP BY ALL HAVING sum(docs) >= 10),
+shapes AS (SELECT k, leaf || '|' || string_agg(p || ':' || w, ' ' ORDER BY p) AS template FROM places SEMI JOIN common USING (leaf, p, w)
+           GROUP BY k, leaf, n HAVING 100 * count(*) >= 75 * n),
+named AS (SELECT lines.*, coalesce(template, k) AS template FROM lines LEFT JOIN shapes USING (k)),
+recur AS (SELECT template, min(doc_id) AS first FROM named GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+gone AS (SELECT r, p FROM named JOIN recur USING (template) WHERE doc_id > first),
+kept AS (SELECT r, string_agg(line, chr(10) ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, coalesce(t, '') AS text, coalesce(CASE WHEN ls = [''] THEN 0 ELSE len(ls) END, 0)::BIGINT AS n_lines,
+       coalesce(len(ls) - coalesce(n, 0), 0)::BIGINT AS n_dropped
+FROM docs LEFT JOIN kept USING (r)
+"""

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidgraph.llm import ngram_join, oracles, packing, quality_rules, substring_dedup
+from braidgraph.llm import line_dedup, ngram_join, oracles, packing, quality_rules, substring_dedup
 from braidgraph.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
     judged = quality_rules.apply_policy(quality_rules.apply_policy(book, "base", "base_ok"), "v1", "kept")
@@ -29,12 +33,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": oracles.OP1,
     "op3_quality_rules": oracles.OP3,
     "op7_ngram_join": oracles.OP7,
     "op8_substring_dedup": oracles.OP8,
