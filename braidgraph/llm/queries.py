@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidgraph.llm import line_dedup, ngram_join, oracles, packing, quality_rules, substring_dedup
+from braidgraph.llm import decontaminate, line_dedup, ngram_join, oracles, packing, quality_rules, substring_dedup
 from braidgraph.llm.common import table
 
 
@@ -32,12 +32,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=1024)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_packing": op9_packing,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": oracles.OP1,
