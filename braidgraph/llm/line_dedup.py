@@ -11,7 +11,7 @@ documents and two different lines at least are looked into; a leaf's size only a
 
 Defined results: null and empty texts have no lines and give an empty text; lines without a word are kept and never
 count; a row whose doc_id is null keeps all its lines and gives no template; rows that share a doc_id count as one
-document. Only the named columns are read, and others are passed on by `dedup_lines`.
+document. Only the named columns are read, and `rewrite` passes all others on.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,3 +130,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, simila
 
     gone = recurring_lines(spark, texts, min_docs, similarity, min_words)
     return map_batches(texts.join(gone, "doc_id", "left").select("doc_id", "text", "lines"), rebuild, "doc_id long, text string, n_lines long, n_dropped long")
+
+
+def rewrite(spark: SparkSession, docs: DataFrame, min_docs: int = 10, similarity: int = 75, min_words: int = 8) -> DataFrame:
+    """docs with recurring lines taken out of text, and __dropped (lines taken out) added; all other columns as they are."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = recurring_lines(spark, texts, min_docs, similarity, min_words).toDF("__doc", "__gone")
+
+    @F.pandas_udf("text string, dropped long")
+    def strip(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        made = [without(None if t is None else t.encode(), set(() if g is None else g)) for t, g in zip(text, lines, strict=True)]
+        return pd.DataFrame({"text": [None if t is None else m[2].decode() for t, m in zip(text, made, strict=True)], "dropped": [m[1] for m in made]})
+
+    joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").withColumn("__new", strip(docs["text"], "__gone"))
+    return joined.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__new.dropped").alias("__dropped"))
