@@ -1,6 +1,6 @@
 """Sequence packing along a space-filling curve.
 
-Each document becomes a signed hashed word vector, projected to a few dimensions by a fixed random matrix and
+Each document becomes a signed hashed vector of its 4-byte grams, projected to a few dimensions by a fixed random matrix and
 placed on a grid; its cell's Hilbert index is the sort key. The rows are range-partitioned by (key, doc_id), so
 ties and copies split over partitions, and each partition streams its documents, which are neighbours on the curve, into
 sequences of `length` tokens. A partition's unfinished last sequence is cut into lengths that are powers of two
@@ -24,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import U64, WordHashes, arrow_schema
+from braidgraph.llm.common import arrow_schema
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Fixed: the seed of the projection, the size of the hashed word vector, grid bits a dimension, dimensions.
+#: Fixed: the seed of the projection, the size of the hashed vector, grid bits a dimension, dimensions.
 SEED, BUCKETS, BITS, DIMS = 9, 256, 10, 4
+#: Bytes hashed at a time; their multiplier; the shift that leaves a bucket and its sign (2 * BUCKETS values).
+GRAM, GRAM_MIX, GRAM_SHIFT = 4, np.uint32(0x9E3779B1), np.uint32(23)
 #: Texts whose characters all lie here are cut alike by both tokenizer libraries (tests/llm/test_packing.py goes
 #: through every one); any other text goes through `tokenizers` itself.
 UNPROVEN = re.compile("[^\\x00-\\x7f\\xa1-\\xff\\u0152\\u0153\\u2010-\\u201f\\u2026\\u20ac]")
@@ -65,16 +67,15 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((BUCKETS, DIMS))
 
 
-_words = WordHashes()
-
-
 def curve_keys(texts: list[bytes | None]) -> np.ndarray:
     """Hilbert keys of texts; the grid is fixed (normal quantiles), so a key depends on its text alone."""
     vectors = np.zeros((len(texts), BUCKETS))
     for row, text in enumerate(texts):
-        if text and len(words := text.split()):
-            h = _words.of(words)
-            vectors[row] = np.bincount((h & U64(BUCKETS - 1)).astype(np.int64), 1.0 - 2.0 * ((h >> U64(40)) & U64(1)).astype(float), BUCKETS)
+        if text:
+            text = text if len(text) >= GRAM else text.ljust(GRAM)
+            grams = np.ndarray((len(text) - GRAM + 1,), "<u4", text, strides=(1,))  # each byte and the next three
+            signed = np.bincount((grams * GRAM_MIX) >> GRAM_SHIFT, minlength=2 * BUCKETS)
+            vectors[row] = signed[:BUCKETS] - signed[BUCKETS:]
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     at = (vectors / np.where(norm == 0, 1, norm)) @ _projection()
     share = 0.5 * (1 + np.vectorize(erf, otypes=[float])(at / np.sqrt(2)))
