@@ -25,6 +25,8 @@ U64 = np.uint64
 MIX_A, MIX_B, MIX_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Words remembered by a worker before its cache starts again.
 WORD_CACHE = 400_000
+#: Edges that one task contracts in memory; so few in all need no further rounds.
+EDGES_PER_TASK = 200_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -171,7 +173,7 @@ def _forest(batches):
             a, b = find(parent, a), find(parent, b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 500_000:  # bounded memory: a tree cut in two is joined by the rounds below
+        if len(parent) > 3 * EDGES_PER_TASK:  # bounded memory: a tree cut in two is joined by the rounds below
             yield out()
             parent.clear()
     yield out()
@@ -180,10 +182,15 @@ def _forest(batches):
 def components(spark: SparkSession, edges: DataFrame, tag: str) -> DataFrame:
     """(node, component) of every node of edges (a, b: long): the smallest node it reaches.
 
-    Tasks first contract their own edges; then rounds of smallest-neighbour labels with pointer jumping run
+    Tasks first contract EDGES_PER_TASK edges each, which settles small inputs; then rounds of smallest-neighbour labels with pointer jumping run
     until none changes. Nothing is collected but one count a round; every round is written to the shared folder.
     """
-    pairs = edges.select("a", "b").mapInArrow(_forest, "a long, b long").where("a <> b")
+    edges = materialize(spark, edges.select("a", "b"), f"{tag}-given")
+    tasks = max(1, -(-edges.count() // EDGES_PER_TASK))
+    forest = edges.coalesce(tasks).mapInArrow(_forest, "a long, b long")
+    if tasks == 1:
+        return materialize(spark, forest.toDF("node", "component"), f"{tag}-0")
+    pairs = forest.where("a <> b")
     pairs = materialize(spark, pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")
     labels = materialize(spark, pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), f"{tag}-0")
     for n in range(1, 64):
