@@ -17,44 +17,54 @@ document. Only the named columns are read, and `rewrite` passes all others on.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import MIX_A, U64, WordHashes, arrow_schema, map_batches, materialize, mix, signed, utf8
+from braidgraph.llm.common import MIX_A, U64, WORD_CACHE, WordHashes, arrow_schema, map_batches, materialize, mix, signed, utf8
 
 DEPTH = 3
 DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
-_words = WordHashes()
+class FieldHashes(WordHashes):
+    """Hashes of words, those with a digit as a field."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORD_CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(FIELD if DIGIT.search(word) else word)
+        return h
 
-def line_words(line: bytes) -> list[bytes]:
-    """Words of a line, those with a digit as a field."""
-    words = line.split()
-    return [FIELD if DIGIT.search(w) else w for w in words] if DIGIT.search(line) else words
 
+_words = FieldHashes()
 
-def _key(h: np.ndarray, salt: int) -> int:
-    """A hash of a sequence of word hashes."""
-    with np.errstate(over="ignore"):
-        at = mix(h + np.arange(len(h), dtype=U64) * MIX_A)
-        return int(mix(at.sum(dtype=U64, keepdims=True) + U64(salt + len(h)))[0].view(np.int64))
 
+class Parsed:
+    """Lines of a text; of those with a word (`at`: their places) the number of words, line key and leaf key."""
 
-def line_key(words: list[bytes]) -> int:
-    return _key(_words.of(words), 0)
+    def __init__(self, text: bytes | None):
+        self.lines = text.split(b"\n") if text else []
+        words = [line.split() for line in self.lines]
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        self.at = np.flatnonzero(n)
+        self.n = n[self.at]
+        ends = np.cumsum(self.n)
+        self.starts = ends - self.n
+        self.hashes = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), U64, int(ends[-1]) if len(ends) else 0)
+        self.place = np.arange(len(self.hashes)) - np.repeat(self.starts, self.n)
+        with np.errstate(over="ignore"):
+            mixed = mix(self.hashes + self.place.astype(U64) * MIX_A)
+            size = self.n.astype(U64)
+            self.keys = mix(self._sums(mixed) + size)
+            self.leaves = mix(self._sums(np.where(self.place < DEPTH, mixed, U64(0))) + (size << U64(8)))
 
-
-def leaf_key(words: list[bytes]) -> int:
-    return _key(_words.of(words[:DEPTH]), len(words) << 8)
-
-
-def lines_of(text: bytes | None) -> list[bytes]:
-    return text.split(b"\n") if text else []
+    def _sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts) if len(self.starts) else np.empty(0, U64)
 
 
 def recurring_lines(spark: SparkSession, texts: DataFrame, min_docs: int, similarity: int, min_words: int) -> DataFrame:
@@ -63,15 +73,14 @@ def recurring_lines(spark: SparkSession, texts: DataFrame, min_docs: int, simila
     def parse(batches):
         schema = arrow_schema("doc_id long, line long, leaf long, n int")
         for batch in batches:
-            made = []
+            ids, parts = [], []
             for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                seen = set()
-                for line in lines_of(t):
-                    if (words := line_words(line)) and (key := line_key(words)) not in seen:
-                        seen.add(key)
-                        made.append((i, key, leaf_key(words), len(words)))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+                p = Parsed(t)
+                keys, once = np.unique(p.keys, return_index=True)
+                ids.append(np.full(len(keys), i, np.int64))
+                parts.append((signed(keys), signed(p.leaves[once]), p.n[once].astype(np.int32)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, *zip(*parts, strict=True))], schema=schema)
 
     lines = materialize(spark, texts.where("doc_id is not null").mapInArrow(parse, "doc_id long, line long, leaf long, n int"), "lines")
     each = lines.groupBy("line", "leaf", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("rep"))
@@ -83,19 +92,20 @@ def recurring_lines(spark: SparkSession, texts: DataFrame, min_docs: int, simila
     def places(batches):
         schema = arrow_schema("line long, leaf long, docs long, n int, place int, word long")
         for batch in batches:
-            columns: list[list] = [[] for _ in schema]
+            parts: list[tuple] = []
             for t, chosen in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                open_ = {c["line"]: c["docs"] for c in chosen}
-                for line in lines_of(t):
-                    if (words := line_words(line)) and (key := line_key(words)) in open_:
-                        docs, n = open_.pop(key), len(words)
-                        for column, values in zip(columns, ([key] * n, [leaf_key(words)] * n, [docs] * n, [n] * n, range(n), signed(_words.of(words)).tolist()), strict=True):
-                            column.extend(values)
-                if len(columns[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-                    columns = [[] for _ in schema]
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                docs = {c["line"]: c["docs"] for c in chosen}
+                p = Parsed(t)
+                keys, once = np.unique(signed(p.keys), return_index=True)
+                for key, k in zip(keys.tolist(), once.tolist(), strict=True):
+                    if key in docs:
+                        n, low = int(p.n[k]), int(p.starts[k])
+                        parts.append((np.full(n, key), np.full(n, signed(p.leaves[k : k + 1])[0]), np.full(n, docs[key]), np.full(n, n, np.int32), np.arange(n, dtype=np.int32), signed(p.hashes[low : low + n])))
+                if len(parts) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+                    parts = []
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
 
     words = materialize(spark, texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(places, "line long, leaf long, docs long, n int, place int, word long"), "places")
     common = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
@@ -107,11 +117,15 @@ def recurring_lines(spark: SparkSession, texts: DataFrame, min_docs: int, simila
     return assigned.join(recur, "template").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
-def without(text: bytes | None, gone: set[int]) -> tuple[int, int, bytes]:
-    """Lines of a text, lines dropped, and the text without these."""
-    lines = lines_of(text)
-    kept = [x for x in lines if not ((words := line_words(x)) and line_key(words) in gone)] if gone else lines
-    return len(lines), len(lines) - len(kept), b"\n".join(kept)
+def without(text: bytes | None, gone: np.ndarray | None) -> tuple[int, int, bytes]:
+    """Lines of a text, lines dropped, and the text without the lines whose keys are in `gone`."""
+    if not text:
+        return 0, 0, b""
+    if gone is None or not len(gone):
+        return text.count(b"\n") + 1, 0, text
+    p = Parsed(text)
+    out = set(p.at[np.isin(signed(p.keys), gone)].tolist())
+    return len(p.lines), len(out), b"\n".join([x for i, x in enumerate(p.lines) if i not in out])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, similarity: int = 75, min_words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,7 +139,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, simila
     def rebuild(batch):
         for low in range(0, batch.num_rows, 512):
             few = batch.slice(low, 512)
-            made = [without(t, set(gone or ())) for t, gone in zip(utf8(few.column(1)), few.column(2).to_pylist(), strict=True)]
+            made = [without(t, gone.values.to_numpy(zero_copy_only=False) if gone.is_valid else None) for t, gone in zip(utf8(few.column(1)), few.column(2), strict=True)]
             yield {"doc_id": few.column(0), "text": pa.array([m[2] for m in made], pa.binary()).cast(pa.string()), "n_lines": [m[0] for m in made], "n_dropped": [m[1] for m in made]}
 
     gone = recurring_lines(spark, texts, min_docs, similarity, min_words)
@@ -139,7 +153,7 @@ def rewrite(spark: SparkSession, docs: DataFrame, min_docs: int = 10, similarity
 
     @F.pandas_udf("text string, dropped long")
     def strip(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
-        made = [without(None if t is None else t.encode(), set(() if g is None else g)) for t, g in zip(text, lines, strict=True)]
+        made = [without(None if t is None else t.encode(), g) for t, g in zip(text, lines, strict=True)]
         return pd.DataFrame({"text": [None if t is None else m[2].decode() for t, m in zip(text, made, strict=True)], "dropped": [m[1] for m in made]})
 
     joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").withColumn("__new", strip(docs["text"], "__gone"))
