@@ -1,4 +1,387 @@
-"""Registered queries of the graph-pattern engine."""
+"""Registered queries of the graph-pattern engine, over the property graph of the tables, and their DuckDB SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidgraph.functions import pattern as analysis
+from braidgraph.functions.pattern import Pattern
+from braidgraph.operators import graph, stream
+from braidgraph.plans import match
+from braidgraph.sources import testgraph as tg
+
+TRIANGLE = Pattern((6, 5, 4), ((0, 1, 2), (1, 2, 3), (0, 2, 4)), "triangle")
+IN_NATION = Pattern((6, 5, 4, 2), ((0, 1, 2), (1, 2, 3), (0, 2, 4), (2, 3, 5)), "triangle in a nation")
+WEDGE = Pattern((5, 6, 5), ((0, 1, 2), (1, 2, 2)), "wedge")
+SQUARE = Pattern((5, 6, 5, 6), ((0, 1, 2), (1, 2, 2), (2, 3, 2), (0, 3, 2)), "square")
+STAR = Pattern((6, 5, 5, 5), ((0, 1, 2), (0, 2, 2), (0, 3, 2)), "star")
+PATH = Pattern((3, 6, 5, 4, 2), ((0, 1, 1), (1, 2, 2), (2, 3, 3), (3, 4, 5)), "path")
+SAME_SUPPLIER = Pattern((6, 5, 5, 4), ((0, 1, 2), (0, 2, 2), (1, 3, 3), (2, 3, 3)), "two parts of a supplier")
+PENDANTS = Pattern((6, 5, 4, 3, 2), ((0, 1, 2), (1, 2, 3), (0, 2, 4), (0, 3, 1), (2, 4, 5)), "triangle with pendants")
+ARMS = Pattern((6, 4, 2, 4, 2), ((0, 1, 4), (1, 2, 5), (0, 3, 4), (3, 4, 5)), "two suppliers of two nations")
+COMBINED = Pattern((6, 5, 5, 4, 3), ((0, 1, 2), (0, 2, 2), (1, 3, 3), (2, 3, 3), (0, 4, 1)), "two parts of a supplier, with the customer")
+ALL_SHARED = Pattern((6, 4, 2, 4, 2, 3), ((0, 1, 4), (1, 2, 5), (0, 3, 4), (3, 4, 5), (0, 5, 1)), "two suppliers of two nations, with the customer")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_DAY = "date_diff('day', DATE '1970-01-01', {0}::DATE)"
+
+
+def _sql_static(table: str, ka: int, a: str, kb: int, b: str, elabel: int) -> str:
+    return f"SELECT {ka}000000000 + {a}, {kb}000000000 + {b}, {elabel}, NULL::BIGINT, NULL::BIGINT FROM {table}"
+
+
+#: Common table expressions of the graph: d (dated edges), e (edges), arcs, u (updates), i (instances), v (vertices).
+GRAPH_SQL = f"""
+WITH RECURSIVE d0 AS (
+  SELECT 3000000000 + o_custkey AS src, 6000000000 + o_orderkey AS dst, 1 AS elabel, {_DAY.format('o_orderdate')} AS ins_day, NULL::BIGINT AS del_day FROM orders
+  UNION ALL SELECT src, dst, 2, ins_day, CASE WHEN returned THEN last + 30 END FROM (
+    SELECT 5000000000 + l_partkey AS src, 6000000000 + l_orderkey AS dst, min({_DAY.format('l_shipdate')}) AS ins_day,
+           max({_DAY.format('l_shipdate')}) AS last, bool_and(l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1, 2)
+  UNION ALL SELECT 4000000000 + l_suppkey, 5000000000 + l_partkey, 3, min({_DAY.format('l_shipdate')}), NULL FROM lineitem GROUP BY 1, 2
+  UNION ALL SELECT 4000000000 + l_suppkey, 6000000000 + l_orderkey, 4, min({_DAY.format('l_shipdate')}), NULL FROM lineitem GROUP BY 1, 2
+  UNION ALL {_sql_static('supplier', 2, 's_nationkey', 4, 's_suppkey', 5)}
+  UNION ALL {_sql_static('customer', 2, 'c_nationkey', 3, 'c_custkey', 6)}
+  UNION ALL {_sql_static('nation', 1, 'n_regionkey', 2, 'n_nationkey', 7)}),
+d AS (SELECT src::BIGINT AS src, dst::BIGINT AS dst, elabel::INT AS elabel, ins_day, del_day, (src // 1000000000)::INT AS src_label, (dst // 1000000000)::INT AS dst_label FROM d0),
+e AS (SELECT src, dst, elabel, src_label, dst_label FROM d),
+arcs AS (SELECT * FROM e UNION ALL SELECT dst, src, elabel, dst_label, src_label FROM e),
+log AS (SELECT ins_day AS day, '+' AS op, * FROM d WHERE ins_day IS NOT NULL UNION ALL SELECT del_day, '-', * FROM d WHERE del_day IS NOT NULL),
+u AS (SELECT row_number() OVER (ORDER BY day, op DESC, elabel, src, dst) AS update_id, op, src, dst, elabel, src_label, dst_label FROM log),
+i AS (SELECT d.src, d.dst, d.elabel, d.src_label, d.dst_label, coalesce(a.update_id, 0) AS ins, coalesce(z.update_id, 9223372036854775807) AS del
+      FROM d LEFT JOIN u a ON a.op = '+' AND (a.src, a.dst, a.elabel) = (d.src, d.dst, d.elabel)
+             LEFT JOIN u z ON z.op = '-' AND (z.src, z.dst, z.elabel) = (d.src, d.dst, d.elabel)),
+v AS (SELECT DISTINCT src AS id, src_label AS label FROM arcs)
+"""
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function under a name, with its SQL over GRAPH_SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = f"{GRAPH_SQL}{sql}"
+        return f
+
+    return add
+
+
+def pattern_sql(p: Pattern, relation: str) -> str:
+    """SELECT of the plain join of a pattern: edges one by one, all pairs of vertices unequal."""
+    tables, where = [], []
+    seen: dict[int, str] = {}
+    for n, (a, b, k) in enumerate(p.edges):
+        flip = p.labels[a] > p.labels[b]  # stored from the smaller kind to the larger
+        if p.labels[a] == p.labels[b]:
+            raise ValueError("kinds of an edge differ here")
+        tables.append(f"{relation} e{n}")
+        where += [f"e{n}.elabel = {k}", f"e{n}.src_label = {min(p.labels[a], p.labels[b])}", f"e{n}.dst_label = {max(p.labels[a], p.labels[b])}"]
+        for x, column in ((a, f"e{n}.{'dst' if flip else 'src'}"), (b, f"e{n}.{'src' if flip else 'dst'}")):
+            if x in seen:
+                where.append(f"{seen[x]} = {column}")
+            seen.setdefault(x, column)
+    where += [f"{seen[a]} <> {seen[b]}" for a, b in p.same_label_pairs()]
+    ids = ", ".join(f"{seen[x]} AS v{x}" for x in range(p.n))
+    all_of = lambda c: ", ".join(f"e{n}.{c}" for n in range(len(p.edges)))
+    return f"SELECT {ids}{f', list_max([{all_of("ins")}]) AS ins, list_min([{all_of("del")}]) AS del' if relation == 'i' else ''} FROM {', '.join(tables)} WHERE {' AND '.join(where)}"
+
+
+def static_sql(p: Pattern) -> str:
+    return pattern_sql(p, "e")
+
+
+def continuous_sql(p: Pattern) -> str:
+    return f""", m AS (SELECT * FROM ({pattern_sql(p, 'i')}) WHERE ins < del),
+r AS (SELECT ins AS update_id, '+' AS op, count(*) AS matches FROM m WHERE ins > 0 GROUP BY 1
+      UNION ALL SELECT del, '-', count(*) FROM m WHERE del < 9223372036854775807 GROUP BY 1)"""
+
+
+def csm(name: str, p: Pattern, mode: str) -> None:
+    query(name, continuous_sql(p) + " SELECT update_id, op, matches FROM r")(lambda spark, d: match.continuous_match(tg.instances(spark, d), p, mode))
+
+
+def needs_sql(p: Pattern) -> str:
+    rows = ", ".join(f"({v}, {p.labels[v]}, {k}, {label}, {n}, {len(p.neighbour_counts(v))})" for v in range(p.n) for (k, label), n in sorted(p.neighbour_counts(v).items()))
+    return f"(VALUES {rows}) AS needs(qv, label, elabel, nlabel, need, needs)"
+
+
+def candidates_sql(p: Pattern) -> str:
+    return f""", nlf AS (SELECT src AS id, src_label AS label, elabel, dst_label AS nlabel, count(*) AS n FROM arcs GROUP BY ALL),
+c AS (SELECT qv, id FROM nlf JOIN {needs_sql(p)} USING (label, elabel, nlabel) WHERE n >= need GROUP BY qv, id, needs HAVING count(*) = needs)"""
+
+
+# ---- tables of the graph
+
+@query("vertices_scan", " SELECT label, count(*) AS n, min(id) AS first, max(id) AS last FROM v GROUP BY label")
+def vertices_scan(spark, d):
+    edges = tg.dated_edges(spark, d).select("src", "dst", "elabel")
+    return graph.all_vertices(tg.declared_vertices(spark, d), edges).groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query("edges_canonical", " SELECT elabel, count(*) AS n, min(src) AS least_src, max(dst) AS largest_dst FROM e GROUP BY elabel")
+def edges_canonical(spark, d):
+    raw = tg.dated_edges(spark, d).select("src", "dst", "elabel")
+    turned = graph.both_ways(raw)  # both orientations and doubles: what a file may hold
+    return graph.canonical_edges(turned).groupBy("elabel").agg(F.count("*").alias("n"), F.min("src").alias("least_src"), F.max("dst").alias("largest_dst"))
+
+
+@query("updates_enriched", " SELECT op, src_label, elabel, dst_label, count(*) AS n, min(update_id) AS first, max(update_id) AS last FROM u GROUP BY ALL")
+def updates_enriched(spark, d):
+    labelled = graph.with_labels(tg.updates(spark, d).drop("src_label", "dst_label"), graph.all_vertices(tg.declared_vertices(spark, d), tg.edges(spark, d)))
+    return labelled.groupBy("op", "src_label", "elabel", "dst_label").agg(F.count("*").alias("n"), F.min("update_id").alias("first"), F.max("update_id").alias("last"))
+
+
+@query("relevant_updates", " SELECT elabel, op, count(*) AS n, sum(update_id)::BIGINT AS ids FROM u WHERE elabel IN (2, 3, 4) GROUP BY ALL")
+def relevant_updates(spark, d):
+    return stream.relevant(spark, tg.updates(spark, d), TRIANGLE).groupBy("elabel", "op").agg(F.count("*").alias("n"), F.sum("update_id").alias("ids"))
+
+
+@query("update_anchors", " SELECT elabel, op, count(*) AS n, 2::BIGINT AS orbit_size FROM u WHERE elabel = 2 GROUP BY ALL")
+def update_anchors(spark, d):
+    return stream.anchors(spark, tg.updates(spark, d), WEDGE).groupBy("elabel", "op").agg(F.count("*").alias("n"), F.max("orbit_size").cast("long").alias("orbit_size"))
+
+
+@query("label_frequency", " SELECT label, count(*) AS n, max(count(*)) OVER () AS largest FROM v GROUP BY label")
+def label_frequency(spark, d):
+    n = graph.label_frequency(graph.all_vertices(tg.declared_vertices(spark, d), tg.edges(spark, d)))
+    return n.join(F.broadcast(n.agg(F.max("n").alias("largest"))))  # one row
+
+
+@query("graph_summary", """ SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(DISTINCT label) FROM v) AS labels, (SELECT max(n) FROM (SELECT count(*) AS n FROM v GROUP BY label)) AS max_label_frequency,
+ (SELECT count(*) FROM e) AS edges, (SELECT max(n) FROM (SELECT count(*) AS n FROM arcs GROUP BY src)) AS max_degree""")
+def graph_summary(spark, d):
+    return graph.GraphTables.load(tg.declared_vertices(spark, d), tg.dated_edges(spark, d).select("src", "dst", "elabel")).summary()
+
+
+@query("label_index", " SELECT label, count(*) AS n, min(id) AS first, max(id) AS last FROM v WHERE label IN (4, 5) GROUP BY label")
+def label_index(spark, d):
+    v = graph.all_vertices(tg.declared_vertices(spark, d), tg.edges(spark, d))
+    return v.where(F.col("label").isin(4, 5)).groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query("degree_offsets", " SELECT id, degree, coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM (SELECT src AS id, count(*) AS degree FROM arcs GROUP BY src)")
+def degree_offsets(spark, d):
+    return graph.degree_offsets(spark, graph.both_ways(tg.edges(spark, d)))
+
+
+@query("nbrs_by_label", " SELECT src AS id, src_label AS label, elabel, dst_label AS nlabel, count(*) AS n FROM arcs GROUP BY ALL")
+def nbrs_by_label(spark, d):
+    return graph.neighbour_labels(graph.both_ways(tg.edges(spark, d)))
+
+
+@query("label_pair_edges", " SELECT src_label, dst_label, count(*) AS n FROM e GROUP BY ALL")
+def label_pair_edges(spark, d):
+    return tg.edges(spark, d).groupBy("src_label", "dst_label").agg(F.count("*").alias("n"))
+
+
+def _pairs(spark, d):
+    """Orders with the nation-mates of their suppliers: pairs with and without an edge."""
+    s = tg.read(spark, d, "supplier").select(tg._id(4, "s_suppkey").alias("src"), "s_nationkey")
+    of = tg.edges(spark, d).where("elabel = 4").select("src", "dst").join(s, "src").select("s_nationkey", "dst").distinct()
+    return s.join(of, "s_nationkey").select("src", "dst")
+
+
+_PAIRS_SQL = ", s AS (SELECT 4000000000 + s_suppkey AS src, s_nationkey FROM supplier), q AS (SELECT s.src, o.dst FROM s JOIN (SELECT DISTINCT s_nationkey, e.dst FROM e JOIN s USING (src) WHERE elabel = 4) o USING (s_nationkey))"
+
+
+@query("edge_exists", _PAIRS_SQL + " SELECT found, count(*) AS n, sum(src)::BIGINT AS srcs FROM (SELECT src, (src, dst) IN (SELECT (src, dst) FROM e WHERE elabel = 4) AS found FROM q) GROUP BY found")
+def edge_exists(spark, d):
+    pairs, arcs = _pairs(spark, d), tg.edges(spark, d).where("elabel = 4")
+    both = graph.edge_exists(pairs, arcs).withColumn("found", F.lit(True)).union(graph.edge_exists(pairs, arcs, True).withColumn("found", F.lit(False)))
+    return both.groupBy("found").agg(F.count("*").alias("n"), F.sum("src").alias("srcs"))
+
+
+@query("edge_label_lookup", _PAIRS_SQL + " SELECT coalesce(e.elabel, -1) AS elabel, count(*) AS n FROM q LEFT JOIN e ON (q.src, q.dst) = (e.src, e.dst) GROUP BY ALL")
+def edge_label_lookup(spark, d):
+    return graph.edge_label_lookup(_pairs(spark, d), tg.edges(spark, d)).groupBy(F.coalesce("elabel", F.lit(-1)).alias("elabel")).agg(F.count("*").alias("n"))
+
+
+@query("nlf_candidates", candidates_sql(SAME_SUPPLIER) + " SELECT qv, count(*) AS n, sum(id)::BIGINT AS ids FROM c GROUP BY qv")
+def nlf_candidates(spark, d):
+    return graph.candidates(spark, graph.both_ways(tg.edges(spark, d)), SAME_SUPPLIER).groupBy("qv").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("view_stats", " SELECT src_label, elabel, dst_label, count(DISTINCT src) AS keys, count(*) AS n FROM arcs WHERE elabel IN (2, 3, 4) GROUP BY ALL")
+def view_stats(spark, d):
+    found = graph.views(spark, graph.both_ways(tg.edges(spark, d)), TRIANGLE)
+    per_key = found.groupBy("src_label", "elabel", "dst_label", "src").agg(F.count("*").alias("n"))
+    return per_key.groupBy("src_label", "elabel", "dst_label").agg(F.count("*").alias("keys"), F.sum("n").alias("n"))
+
+
+@query("nlf_view", candidates_sql(SAME_SUPPLIER) + f""", q AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {k}, {SAME_SUPPLIER.labels[a]}, {SAME_SUPPLIER.labels[b]})' for u, w, k in SAME_SUPPLIER.edges for a, b in ((u, w), (w, u)))}) AS q(qsrc, qdst, elabel, src_label, dst_label))
+SELECT qsrc, qdst, count(*) AS n FROM arcs JOIN q USING (elabel, src_label, dst_label) WHERE (qsrc, src) IN (SELECT (qv, id) FROM c) AND (qdst, dst) IN (SELECT (qv, id) FROM c) GROUP BY ALL""")
+def nlf_view(spark, d):
+    return graph.candidate_views(spark, graph.both_ways(tg.edges(spark, d)), SAME_SUPPLIER).groupBy("qsrc", "qdst").agg(F.count("*").alias("n"))
+
+
+@query("semijoin_reduce", f", m AS ({static_sql(PATH)}) " + " UNION ALL ".join(f"SELECT {x} AS qv, count(DISTINCT v{x}) AS n, sum(DISTINCT v{x})::BIGINT AS ids FROM m" for x in range(5)))
+def semijoin_reduce(spark, d):
+    found = graph.reduce_candidates(tg.edges(spark, d), PATH)
+    parts = [df.agg(F.lit(x).alias("qv"), F.count("*").alias("n"), F.sum("id").alias("ids")) for x, df in sorted(found.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.select("qv", "n", "ids")
+
+
+@query("common_neighbours", " SELECT a.src AS a, b.src AS b, count(*) AS n FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src WHERE a.elabel = 2 AND b.elabel = 2 GROUP BY ALL ORDER BY n DESC, a, b LIMIT 50")
+def common_neighbours(spark, d):
+    """Top-k report: the 50 pairs of parts with most orders in common."""
+    return graph.common_neighbours(tg.edges(spark, d).where("elabel = 2")).orderBy(F.desc("n"), "a", "b").limit(50)
+
+
+@query("intersect_adjacency", " SELECT x.src AS a, x.dst AS b, count(y.src) AS n FROM (SELECT * FROM e WHERE elabel = 3) x JOIN (SELECT * FROM arcs WHERE elabel = 4) y ON y.dst = x.src JOIN (SELECT * FROM arcs WHERE elabel = 2) z ON z.dst = x.dst AND z.src = y.src GROUP BY ALL")
+def intersect_adjacency(spark, d):
+    e = tg.edges(spark, d)
+    pairs = e.where("elabel = 3").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return graph.intersect_adjacency(pairs, graph.both_ways(e.where("elabel in (2, 4)")).where("src_label <> 6")).select("a", "b", F.size("common").cast("long").alias("n")).where("n > 0")
+
+
+def _trade(spark, d):
+    return graph.both_ways(tg.edges(spark, d).where("elabel in (2, 3, 4)"))
+
+
+@query("k_core")
+def k_core(spark, d):
+    return graph.core_numbers(spark, _trade(spark, d)).groupBy("core").agg(F.count("*").alias("n"))
+
+
+def _peel_sql(k: int, rounds: int) -> str:
+    steps = ["p0 AS (SELECT src, dst FROM arcs WHERE elabel IN (2, 3, 4))"]
+    for n in range(rounds):
+        steps.append(f"s{n} AS (SELECT src AS id FROM p{n} GROUP BY src HAVING count(*) >= {k}), p{n + 1} AS (SELECT * FROM p{n} WHERE src IN (SELECT id FROM s{n}) AND dst IN (SELECT id FROM s{n}))")
+    return ", " + ", ".join(steps) + f" SELECT src // 1000000000 AS label, count(DISTINCT src) AS n, count(*) AS arcs FROM p{rounds} GROUP BY 1"
+
+
+@query("peel_rounds", _peel_sql(8, 3))
+def peel_rounds(spark, d):
+    left = graph.peel(_trade(spark, d).select("src", "dst"), 8, 3)
+    degrees = left.groupBy("src").agg(F.count("*").alias("n"))
+    return degrees.groupBy(F.floor(F.col("src") / 1_000_000_000).alias("label")).agg(F.count("*").alias("n"), F.sum("n").alias("arcs"))
+
+
+# ---- analyses of patterns
+
+@query("cut_vertices")
+def cut_vertices(spark, d):
+    return spark.createDataFrame([(p.name, x) for p in (TRIANGLE, PATH, PENDANTS, ARMS) for x in p.cut_vertices()], "pattern string, qv int")
+
+
+@query("blocks")
+def pattern_blocks(spark, d):
+    return spark.createDataFrame([(p.name, b.entry, list(b.inner)) for p in (PENDANTS, COMBINED, ALL_SHARED) for b in analysis.blocks(p)], "pattern string, entry int, inner_vertices array<int>")
+
+
+@query("automorphic_subpatterns")
+def automorphic_subpatterns(spark, d):
+    return spark.createDataFrame([(p.name, list(s), len(a)) for p in (SAME_SUPPLIER, SQUARE, STAR, COMBINED) for s, a in analysis.automorphic_subpatterns(p)], "pattern string, vertices array<int>, automorphisms int")
+
+
+@query("isomorphic_subpatterns")
+def isomorphic_subpatterns(spark, d):
+    return spark.createDataFrame([(p.name, n, list(s)) for p in (ARMS, ALL_SHARED) for n, g in enumerate(analysis.isomorphic_subpatterns(p)) for s in g], "pattern string, group_no int, vertices array<int>")
+
+
+_AUT_SQL = f""", pv AS (SELECT * FROM (VALUES {', '.join(f'({v}, {k})' for v, k in enumerate(SQUARE.labels))}) AS t(q, label)),
+pe AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {k})' for u, w, k in SQUARE.edges for a, b in ((u, w), (w, u)))}) AS t(a, b, k)),
+aut AS (SELECT x0.q AS p0, x1.q AS p1, x2.q AS p2, x3.q AS p3 FROM pv x0, pv x1, pv x2, pv x3
+  WHERE x0.label = 5 AND x1.label = 6 AND x2.label = 5 AND x3.label = 6 AND x0.q <> x2.q AND x1.q <> x3.q
+    AND {' AND '.join(f'(x{u}.q, x{w}.q, {k}) IN (SELECT (a, b, k) FROM pe)' for u, w, k in SQUARE.edges)})"""
+
+
+@query("automorphisms", _AUT_SQL + " SELECT p0, p1, p2, p3 FROM aut")
+def automorphisms(spark, d):
+    return spark.createDataFrame(SQUARE.automorphisms, "p0 int, p1 int, p2 int, p3 int")
+
+
+@query("edge_orbits", _AUT_SQL + """, img AS (SELECT a, b, [p0, p1, p2, p3][a + 1] AS x, [p0, p1, p2, p3][b + 1] AS y FROM pe, aut),
+rep AS (SELECT a, b, min(x * 100 + y) AS r FROM img GROUP BY a, b) SELECT a AS qsrc, b AS qdst, r // 100 AS rep_src, r % 100 AS rep_dst, count(*) OVER (PARTITION BY r) AS orbit_size FROM rep""")
+def edge_orbits(spark, d):
+    return spark.createDataFrame([(u, v, *o[0], len(o)) for o in SQUARE.edge_orbits for u, v in o], "qsrc int, qdst int, rep_src int, rep_dst int, orbit_size long")
+
+
+# ---- matching
+
+def _count(name: str, p: Pattern, by: int | None, mode: str = "plain") -> None:
+    sql = f", m AS ({static_sql(p)}) SELECT " + (f"v{by} AS id, count(*) AS matches FROM m GROUP BY 1" if by is not None else "count(*) AS matches FROM m")
+    query(name, sql)(lambda spark, d: match.static_count(tg.edges(spark, d), p, by, mode))
+
+
+_count("match_triangle", IN_NATION, 3)
+_count("match_wedge", WEDGE, 1)
+_count("match_square", SQUARE, 0)
+_count("match_star", STAR, 0)
+_count("match_path", PATH, 4)
+_count("match_path_factorised", PATH, 2, "factorised")
+_count("match_factorised", PENDANTS, 2, "factorised")
+_count("match_shared", SAME_SUPPLIER, 3, "shared_subpattern")
+
+
+@query("enumerate_limit", f", m AS ({static_sql(TRIANGLE)}) SELECT v0, v1, v2 FROM m ORDER BY v0, v1, v2 LIMIT 100")
+def enumerate_limit(spark, d):
+    """Enumeration with a result cap (the feature): the first 100 triangles in vertex order."""
+    return match.enumerate_matches(tg.edges(spark, d), TRIANGLE, 100)
+
+
+@query("match_bound", f", m AS ({static_sql(TRIANGLE)}) SELECT v0, v1, v2 FROM m WHERE v2 = 4000000001")
+def match_bound(spark, d):
+    return match.static_match(tg.edges(spark, d), TRIANGLE, {2: 4_000_000_001})
+
+
+csm("csm_insert_delete", TRIANGLE, "plain")
+csm("csm_anchored", TRIANGLE, "anchored")
+csm("csm_anchored_orbits", WEDGE, "anchored")
+csm("csm_shared", SAME_SUPPLIER, "shared_subpattern")
+csm("csm_factorised", PENDANTS, "factorised")
+csm("csm_iso_shared", ARMS, "iso_subpattern")
+csm("csm_combined", COMBINED, "shared+factorised")
+csm("csm_all", ALL_SHARED, "all")
+
+
+@query("csm_insert", continuous_sql(TRIANGLE) + " SELECT update_id, op, matches FROM r WHERE op = '+'")
+def csm_insert(spark, d):
+    return match.continuous_match(tg.instances(spark, d), TRIANGLE).where("op = '+'")
+
+
+@query("csm_capped", continuous_sql(TRIANGLE) + " SELECT update_id, op, least(matches, 3) AS matches FROM r")
+def csm_capped(spark, d):
+    return match.continuous_match(tg.instances(spark, d), TRIANGLE, limit=3)
+
+
+@query("csm_top_updates", continuous_sql(TRIANGLE) + " SELECT update_id, op, matches FROM r ORDER BY matches DESC, update_id, op LIMIT 100")
+def csm_top_updates(spark, d):
+    """Top-k report: the 100 updates with most matches."""
+    return match.continuous_match(tg.instances(spark, d), TRIANGLE).orderBy(F.desc("matches"), "update_id", "op").limit(100)
+
+
+@query("csm_enumerate", continuous_sql(TRIANGLE) + " SELECT v0, v1, v2, ins, del FROM m")
+def csm_enumerate(spark, d):
+    return match.continuous_matches(tg.instances(spark, d), TRIANGLE)
+
+
+@query("csm_counters", continuous_sql(TRIANGLE) + """ SELECT (SELECT count(*) FROM u) AS processed, (SELECT count(*) FROM u WHERE elabel IN (2, 3, 4)) AS relevant,
+ (SELECT count(*) FROM r) AS with_matches, (SELECT sum(matches)::BIGINT FROM r WHERE op = '+') AS gained, (SELECT sum(matches)::BIGINT FROM r WHERE op = '-') AS lost""")
+def csm_counters(spark, d):
+    return stream.counters(spark, tg.updates(spark, d), match.continuous_match(tg.instances(spark, d), TRIANGLE), TRIANGLE)
+
+
+@query("view_running_size", """ SELECT update_id, op, u.elabel, (coalesce(n, 0) + sum(CASE op WHEN '+' THEN 1 ELSE -1 END) OVER (PARTITION BY u.elabel ORDER BY update_id))::BIGINT AS size
+ FROM u LEFT JOIN (SELECT elabel, count(*) AS n FROM i WHERE ins = 0 GROUP BY elabel) s USING (elabel)""")
+def view_running_size(spark, d):
+    return stream.running_size(tg.updates(spark, d), tg.instances(spark, d).where("ins = 0"))
+
+
+@query("candidate_flips", f""", ia AS (SELECT * FROM i UNION ALL SELECT dst, src, elabel, dst_label, src_label, ins, del FROM i),
+ev AS (SELECT src, src_label AS label, elabel, dst_label AS nlabel, ins AS t, 1 AS step FROM ia UNION ALL SELECT src, src_label, elabel, dst_label, del, -1 FROM ia WHERE del < 9223372036854775807),
+st AS (SELECT qv, needs, need, src, elabel, nlabel, t, sum(step) AS step FROM ev JOIN {needs_sql(SAME_SUPPLIER)} USING (label, elabel, nlabel) GROUP BY ALL),
+rn AS (SELECT *, sum(step) OVER (PARTITION BY qv, src, elabel, nlabel ORDER BY t) AS n FROM st),
+mt AS (SELECT qv, needs, src, t, sum((n >= need)::INT - (n - step >= need)::INT) AS change FROM rn GROUP BY ALL),
+tot AS (SELECT *, sum(change) OVER (PARTITION BY qv, src ORDER BY t) AS met FROM mt WHERE change <> 0)
+SELECT t AS update_id, qv, src AS id, met = needs AS gained FROM tot WHERE (met = needs) <> (met - change = needs) AND t > 0""")
+def candidate_flips(spark, d):
+    return stream.candidate_flips(spark, tg.instances(spark, d), SAME_SUPPLIER)

@@ -1 +1 @@
-"""functions of the graph-pattern engine."""
+"""Driver-side analyses and shared helpers."""
