@@ -39,6 +39,8 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar aside footer header masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs comment comments disqus replies widget login search toolbar pagination pager".split())
 #: Of these, only adverts and comments are left out by class.
 MAIN_TAGS, MAIN_OUT = frozenset(("html", "body", "main", "article")), frozenset(("ad", "ads", "advert", "comment", "comments"))
+#: These may be left out in a page, and so don't count in paths.
+ROOTS = frozenset(("html", "body"))
 #: Starting an element ends open ones of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -127,7 +129,7 @@ def parse(source: str) -> Element:
         elif (tag in BLOCKS or tag in OUT_TAGS) and (found := open_up(("p",), ("td", "th", "button", "object"))):
             close(found)
         attributes = _attributes(m[3])
-        child = Element(tag, node, f"{node.path}/{_name(tag, attributes)}", node.out or _left_out(tag, attributes))
+        child = Element(tag, node, node.path if tag in ROOTS else f"{node.path}/{_name(tag, attributes)}", node.out or _left_out(tag, attributes))
         if not child.out:
             node.children.append(child)
         if not m[3].endswith("/") or tag not in ("path", "use", "circle", "rect"):
