@@ -1,30 +1,32 @@
-"""What the corpus operators share: shipping, written intermediates, word hashes, components.
+"""What the corpus operators share: shipping, word hashes, components.
 
 Words are maximal runs of bytes other than ASCII white space (\\x20 and \\x09-\\x0D), which is what
-``bytes.split()`` cuts; all operators read texts as UTF-8 bytes straight from Arrow.
+``bytes.split()`` cuts too. Words of many texts are hashed at once from Arrow's own UTF-8 buffer.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidgraph.functions.storage import materialize
+
 ROOT = Path(__file__).resolve().parents[2]
 U64 = np.uint64
 #: Odd multipliers of the mixing functions (fixed values: results must not change between runs).
 MIX_A, MIX_B, MIX_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-#: Words remembered by a worker before its cache starts again.
-WORD_CACHE = 400_000
+#: Bytes of text hashed at a time.
+CHUNK_BYTES = 1 << 20
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 #: Edges that one task contracts in memory; so few in all need no further rounds.
 EDGES_PER_TASK = 200_000
 
@@ -43,22 +45,6 @@ def ship(spark: SparkSession) -> None:
     sc._braidgraph_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediates that all executors share (spark.checkpoint.dir; own one only if unset)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="braidgraph-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,19 +73,6 @@ def utf8(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
@@ -150,6 +123,73 @@ class Rolling:
             return mix((prefix[k:] - prefix[:m]) * self.down[:m])
 
 
+_bytes = Rolling(0xD6E8FEB86659FD93)
+
+
+def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of rows that lie one after another in data."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~SPACE[data]
+    first, last = ~inside[:-2], ~inside[2:]
+    cut = offsets[(offsets > 0) & (offsets < len(data))]
+    first[cut], last[cut - 1] = True, True
+    return np.flatnonzero(inside[1:-1] & first), np.flatnonzero(inside[1:-1] & last) + 1
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes between starts and ends, from prefix sums over pieces of about CHUNK_BYTES."""
+    out = np.empty(len(starts), U64)
+    low = 0
+    while low < len(starts):
+        base = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+        s, e = starts[low:high] - base, ends[low:high] - base
+        prefix = _bytes.prefix(data[base : base + int(e[-1])].astype(U64) + U64(1))
+        with np.errstate(over="ignore"):
+            out[low:high] = mix((prefix[e] - prefix[s]) * _bytes.down[s] + (e - s).astype(U64) * MIX_A)
+        low = high
+    return out
+
+
+class Words:
+    """Word hashes of some rows of texts at once: row i has hashes[bounds[i]:bounds[i + 1]]."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, low: int = 0):
+        self.data, self.offsets, self.low = data, offsets, low
+        self.starts, self.ends = _edges(data, offsets)
+        self.hashes = _hash_words(data, self.starts, self.ends)
+        self.bounds = np.searchsorted(self.starts, offsets)
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def rows(self):
+        """(row of the batch, its first word, the word after its last)."""
+        return zip(range(self.low, self.low + len(self)), self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)
+
+
+def words_of(text: bytes) -> Words:
+    """Of one text."""
+    return Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+
+
+def word_chunks(column: pa.Array, fold: np.ndarray | None = None) -> Iterator[Words]:
+    """Words of all rows of a string column (null: none), CHUNK_BYTES or one row at a time; fold: a table of bytes."""
+    column = column.fill_null("") if column.null_count else column
+    if not len(column):
+        return
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, "right")) - 1)
+        part = data[offsets[low] : offsets[high]]
+        yield Words(part if fold is None else fold[part], offsets[low : high + 1] - offsets[low], low)
+        low = high
+
+
 def find(parent: dict, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]

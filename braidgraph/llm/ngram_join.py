@@ -25,32 +25,35 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import MIX_A, MIX_B, U64, WordHashes, arrow_schema, components, map_batches, materialize, mix, signed, utf8
+from braidgraph.llm.common import MIX_A, MIX_B, U64, arrow_schema, components, map_batches, materialize, mix, signed, word_chunks
 
-FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Upper sizes of bands grow by this factor; members compared in one block.
 BAND_GROWTH, BLOCK = 1.4, 512
-_words = WordHashes()
 
 
-def shingles(text: bytes | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a text."""
-    words = text.translate(FOLD).split() if text else []
-    if not words:
-        return np.empty(0, U64)
-    h = _words.of(words)
-    k = min(k, len(h))
+def _sequences(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-word sequences."""
     with np.errstate(over="ignore"):
-        out = h[: len(h) - k + 1].copy()
+        out = h[: len(h) - k + 1]
         for i in range(1, k):
             out = mix(out * MIX_A + h[i : len(h) - k + 1 + i])
-        return np.unique(mix(out + U64(k)))
+        return mix(out + U64(k))
+
+
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the k-word shingles of each text; with fewer words, of all its words as one."""
+    for w in word_chunks(texts, FOLD):
+        long_ = _sequences(w.hashes, k) if len(w.hashes) >= k else np.empty(0, U64)
+        for _, a, b in w.rows():
+            yield np.unique(long_[a : b - k + 1]) if b - a >= k else _sequences(w.hashes[a:b], b - a) if b > a else np.empty(0, U64)
 
 
 def set_keys(s: np.ndarray) -> tuple[int, int]:
@@ -204,8 +207,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
 
     def describe(batch):
         bands, made = Bands(percent), []
-        for t in utf8(batch.column(1)):
-            s = shingles(t, k)
+        for s in shingle_sets(batch.column(1), k):
             made.append((len(s), *set_keys(s), list(bands.joined(len(s))) if len(s) else []))
         n, k1, k2, joined = zip(*made, strict=True) if made else ((), (), (), ())
         return {"doc_id": batch.column(0), "n_shingles": n, "k1": k1, "k2": k2, "bands": joined}
@@ -225,8 +227,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
             return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(owners))], schema=schema)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                s = shingles(t, k)
+            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 if not len(s) or (key := set_keys(s)) in seen:
                     continue  # an equal set of this task has written the same signatures
                 if len(seen) < 200_000:
@@ -254,7 +255,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
     def sets_of(batch):
         for low in range(0, batch.num_rows, 256):
             few = batch.slice(low, 256)
-            sets = [shingles(t, k) for t in utf8(few.column(4))]
+            sets = list(shingle_sets(few.column(4), k))
             flat = np.concatenate([*sets, np.empty(0, U64)])
             offsets = np.cumsum([0, *map(len, sets)])
             yield {"cluster": few.column(0), "parts": few.column(1), "part": few.column(2), "rep": few.column(3), "copies": few.column(5), "shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(flat)))}

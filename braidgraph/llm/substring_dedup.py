@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import MIX_A, MIX_B, U64, Rolling, WordHashes, arrow_schema, map_batches, materialize, mix, signed, utf8
+from braidgraph.llm.common import MIX_A, MIX_B, U64, Rolling, Words, arrow_schema, map_batches, materialize, mix, signed, utf8, word_chunks, words_of
 
 #: Counters of one block in one row of the sketch; counters for each pair in all; pairs of a task sketched at once.
 BLOCK_COUNTERS, COUNTERS_PER_ITEM, CHUNK = 1 << 20, 8, 1 << 20
-_words, _first, _second = WordHashes(), Rolling(0x2545F4914F6CDD1D), Rolling(0x9E6C63D0876A9A47)
+_first, _second = Rolling(0x2545F4914F6CDD1D), Rolling(0x9E6C63D0876A9A47)
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -45,27 +45,29 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def sequence_key(h: np.ndarray) -> int:
-    """A hash of a whole word sequence."""
-    return int(mix(_second.prefix(h)[-1:] + U64(len(h))).view(np.int64)[0])
-
-
 class Passages:
-    """The windows of one text."""
+    """Windows of some rows of texts at once; a row's windows start at its words but the last length - 1."""
 
-    def __init__(self, words: list[bytes], length: int):
-        self.hashes, self.length = _words.of(words), length
-        self.prefix = _first.prefix(self.hashes)
+    def __init__(self, words: Words, length: int):
+        self.words, self.length = words, length
+        self.prefix, self.other = _first.prefix(words.hashes), _second.prefix(words.hashes)
+        q = length // 2 + 1
+        self.minimisers = sliding_min(_first.windows(self.prefix, q), length - q + 1)
 
-    def minimisers(self) -> np.ndarray:
-        """One hash for each window."""
-        q = self.length // 2 + 1
-        return sliding_min(_first.windows(self.prefix, q), self.length - q + 1)
+    def rows(self):
+        """(row, first window, the window after its last, number of words)."""
+        for row, a, b in self.words.rows():
+            yield row, a, max(a, b - self.length + 1), b - a
+
+    def sequence_keys(self, a: int, n: int) -> tuple[int, int]:
+        """128 bits of a row's whole word sequence: n words from word a."""
+        with np.errstate(over="ignore"):
+            both = np.array([self.other[a + n] - self.other[a], self.prefix[a + n] - self.prefix[a]]) * np.array([_second.down[a], _first.down[a]])
+            return tuple(signed(mix(both + U64(n))).tolist())
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits for each window."""
-        second = _second.windows(_second.prefix(self.hashes), self.length)
-        return _first.windows(self.prefix, self.length), (second >> U64(33)).astype(np.int32)
+        return _first.windows(self.prefix, self.length), (_second.windows(self.other, self.length) >> U64(33)).astype(np.int32)
 
 
 def cells(item: np.ndarray, row: int) -> np.ndarray:
@@ -149,17 +151,14 @@ def _estimated(batch):
 
 
 def removed_windows(spark: SparkSession, texts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, gone): hashes of the windows that a document loses; its sequence_key if it loses every word."""
+    """(doc_id, gone): hashes of the windows that a document loses; its sequence key if it loses every word."""
 
     def describe(batch):
         made = []
-        for t in utf8(batch.column(1)):
-            words = t.split() if t else []
-            if len(words) < length:
-                made.append((len(words), 0, 0, []))
-                continue
+        for words in word_chunks(batch.column(1)):
             p = Passages(words, length)
-            made.append((len(words), sequence_key(p.hashes), int(p.prefix[-1].view(np.int64)), signed(np.unique(p.minimisers()))))
+            for _, a, b, n in p.rows():
+                made.append((n, *p.sequence_keys(a, n), signed(np.unique(p.minimisers[a:b]))) if n >= length else (n, 0, 0, ()))
         n, k1, k2, mins = zip(*made, strict=True) if made else ((), (), (), ())
         return {"doc_id": batch.column(0), "n": n, "k1": k1, "k2": k2, "mins": mins}
 
@@ -179,35 +178,29 @@ def removed_windows(spark: SparkSession, texts: DataFrame, length: int) -> DataF
     def hash_wanted(batches):
         schema = arrow_schema("w1 long, w2 int, doc_id long")
         for batch in batches:
-            w1s, w2s, docs, n = [], [], [], 0
-            for doc, t, mins in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2), strict=True):
-                words = t.split() if t else []
-                if len(words) >= length:
-                    p = Passages(words, length)
-                    hit = np.isin(p.minimisers(), mins.values.to_numpy(zero_copy_only=False).view(U64))
-                    w1, w2 = (x[hit] for x in p.keys())
-                    _, once = np.unique(w1, return_index=True)
-                    w1s.append(signed(w1[once]))
-                    w2s.append(w2[once])
-                    docs.append(np.full(len(once), doc, np.int64))
-                    n += len(once)
-                if n > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (w1s, w2s, docs)], schema=schema)
-                    w1s, w2s, docs, n = [], [], [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (w1s, w2s, docs)], schema=schema)
+            docs, mins = batch.column(0).to_pylist(), batch.column(2)
+            for words in word_chunks(batch.column(1)):
+                p, made = Passages(words, length), []
+                w1, w2 = p.keys()
+                for row, a, b, _ in p.rows():
+                    if b > a:
+                        hit = a + np.flatnonzero(np.isin(p.minimisers[a:b], mins[row].values.to_numpy(zero_copy_only=False).view(U64)))
+                        once = hit[np.unique(w1[hit], return_index=True)[1]]
+                        made.append((signed(w1[once]), w2[once], np.full(len(once), docs[row], np.int64)))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], schema=schema)
 
     windows = texts.join(wanted, "doc_id").select("doc_id", "text", "mins").mapInArrow(hash_wanted, "w1 long, w2 int, doc_id long")
     repeated = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("w1", "w2"))).where("doc_id > first")
     return repeated.select("doc_id", F.col("w1").alias("gone")).union(copies).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
 
 
-def kept_words(words: list[bytes], gone: np.ndarray | None, length: int) -> list[bytes]:
+def kept_words(text: bytes, words: list[bytes], gone: np.ndarray | None, length: int) -> list[bytes]:
     """The words that stay when the windows (or the whole sequence) named in `gone` go."""
     if gone is None or len(words) < length:
         return words
-    p = Passages(words, length)
-    if np.int64(sequence_key(p.hashes)) in gone:
+    p = Passages(words_of(text), length)
+    if np.int64(p.sequence_keys(0, len(words))[0]) in gone:
         return []
     hit = np.isin(signed(p.keys()[0]), gone)
     edge = np.zeros(len(words) + 1, np.int64)
@@ -227,7 +220,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, doc_i
             n_words, n_removed, kept = [], [], []
             for t, gone in zip(utf8(few.column(1)), few.column(2), strict=True):
                 words = t.split() if t else []
-                left = kept_words(words, gone.values.to_numpy(zero_copy_only=False) if gone.is_valid else None, length)
+                left = kept_words(t or b"", words, gone.values.to_numpy(zero_copy_only=False) if gone.is_valid else None, length)
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))
