@@ -24,15 +24,22 @@ U64 = np.uint64
 #: Odd multipliers of the mixing functions (fixed values: results must not change between runs).
 MIX_A, MIX_B, MIX_C = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Bytes of text hashed at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 #: Edges that one task contracts in memory; so few in all need no further rounds.
 EDGES_PER_TASK = 200_000
 
 
+#: Texts are long, and each Python worker holds a few copies of a batch: Arrow batches stay below these sizes.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that don't have the repository on their path."""
+    """Make this package importable on executors that don't have the repository on their path, and bound the
+    session's Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p] + [os.path.realpath(os.getcwd())]
     sc = spark.sparkContext
     if str(ROOT) in paths or getattr(sc, "_braidgraph_shipped", False):

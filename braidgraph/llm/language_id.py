@@ -140,8 +140,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
     shared = spark.sparkContext.broadcast(model)  # DIMENSIONS x LANDMARKS numbers
 
     def run(batch):
-        for low in range(0, batch.num_rows, 512):
-            few = batch.slice(low, 512)
+        for low in range(0, batch.num_rows, 128):
+            few = batch.slice(low, 128)
             lang, score = _predict_some(few.column(1).to_pylist(), shared.value)
             yield {"doc_id": few.column(0), "lang_pred": lang, "score": score}
 
@@ -154,7 +154,7 @@ def tag(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        found = [_predict_some(texts.iloc[low : low + 512].tolist(), shared.value) for low in range(0, len(texts), 512)]
+        found = [_predict_some(texts.iloc[low : low + 128].tolist(), shared.value) for low in range(0, len(texts), 128)]
         return pd.DataFrame({"lang_pred": [k for part in found for k in part[0]], "lang_score": [s for part in found for s in part[1]]})
 
     return docs.withColumn("__language", guess("text"))

@@ -36,7 +36,7 @@ from braidgraph.llm.common import MIX_A, MIX_B, U64, arrow_schema, components, m
 
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Upper sizes of bands grow by this factor; members compared in one block.
-BAND_GROWTH, BLOCK = 1.4, 512
+BAND_GROWTH, BLOCK = 1.4, 256
 
 
 def _sequences(h: np.ndarray, k: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def blocks_of(members: list[np.ndarray], percent: int) -> np.ndarray:
     shared = np.zeros((n, n), np.float32)
     if len(column):
         column = np.cumsum(np.r_[0, column[1:] != column[:-1]])
-        width = 4096
+        width = 2048
         for low in range(0, int(column[-1]) + 1, width):
             a, b = np.searchsorted(column, [low, low + width])
             part = np.zeros((n, min(width, int(column[-1]) + 1 - low)), np.float32)
