@@ -3,10 +3,13 @@
 Two sets of sizes s <= r with |A & B| / |A | B| >= t differ in at most s * (1 - t) / t elements. In the size band
 [low, high] of the smaller set, this bound is H = floor(high * (1 - t) / t). The hashed universe is
 cut into m segments, and each segment i gets an allowance e_i: 0 (the two subsets there are equal) or 1 (they differ
-by one element at most, found through one-deletion neighbourhoods). As sum(e_i + 1) = H + 1, any linking pair agrees
-within the allowance in a segment at least, and so shares a signature. `allocate` picks the cheapest mix for a band
-from the exact count of its documents: signatures written against pairs that meet by chance in an empty subset.
-A set writes signatures for its own band and for every band that holds sizes down to t times its own.
+by one element at most, found through one-deletion neighbourhoods). With sum(e_i + 1) = H + g, the segments in which
+any linking pair agrees within the allowance weigh g at least (a segment weighs e_i + 1). Equal subsets are tiny in both sets or
+in neither, so a set with fewer than g tiny subsets in segments of allowance 0 needn't tell these: it still shares another
+signature with every set that it links with. `allocate` picks m, the allowances and g for a band at least cost,
+from the exact count of its documents: signatures written against pairs that meet by chance in an empty subset. Chance
+pairs grow with the square of the count, so larger inputs get more to spare. A set writes signatures for its own band and for
+every band that holds sizes down to t times its own.
 
 Sharing a signature makes candidates, never links. Candidates are kept as stars (document, first document of the
 signature), contracted to clusters, and the sets of each cluster are compared in blocks of bounded size
@@ -26,6 +29,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ from braidgraph.llm.common import MIX_A, MIX_B, U64, arrow_schema, components, m
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Upper sizes of bands grow by this factor; members compared in one block.
 BAND_GROWTH, BLOCK = 1.4, 256
+#: Subsets of so few elements tell little; cost of a pair that meets by chance, in signatures.
+TINY, PAIR_COST = 1, 50.0
 
 
 def _sequences(h: np.ndarray, k: int) -> np.ndarray:
@@ -86,41 +92,59 @@ class Bands:
         return range(self.of(max(1, -(-size * self.percent // 100))), self.of(size) + 1)
 
 
-def allocate(bound: int, high: int, n_docs: int, pair_cost: float = 1.0) -> tuple[int, int]:
-    """(exact, deleting): numbers of segments with allowance 0 and 1, exact + 2 * deleting = bound + 1, that cost least
-    for n_docs sets of up to `high` elements: signatures written, and pairs that meet because a subset is empty."""
-    best = None
-    for deleting in range((bound + 1) // 2 + 1):
-        exact = bound + 1 - 2 * deleting
-        mean = high / BAND_GROWTH / (exact + deleting)
-        chance = exact * math.exp(-2 * mean) + deleting * math.exp(-2 * mean) * (1 + 2 * mean)
-        cost = n_docs * (exact + deleting * (2 + mean)) + pair_cost * n_docs * n_docs / 2 * chance
-        if best is None or cost < best[0]:
-            best = (cost, exact, deleting)
-        elif cost > 8 * best[0]:
-            break
-    return best[1], best[2]
-
-
-def signatures(s: np.ndarray, plans: dict[int, tuple[int, int]], bands: Bands) -> np.ndarray:
+def tiny_share(mean: float) -> float:
+    """Share of segments with TINY elements or fewer, if `mean` are expected."""
+    return math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(TINY + 1))
+
+
+@lru_cache(4096)
+def allocate(bound: int, high: int, n_docs: int) -> tuple[int, int, int]:
+    """(exact, deleting, spare): numbers of segments with allowance 0 and 1 and of agreements to spare, with
+    exact + 2 * deleting = bound + spare, that cost least for n_docs sets of up to `high` elements: signatures written, and PAIR_COST
+    for each pair that is expected to meet because a subset of both is empty."""
+    best: tuple = ()
+    for deleting in sorted({0, 1, 2, (bound + 1) // 4, (bound + 1) // 2} & set(range((bound + 1) // 2 + 1))):
+        spare = 0
+        while spare < bound + 3:
+            spare += 1 + spare // 6
+            exact = bound + spare - 2 * deleting
+            mean = high / BAND_GROWTH / (exact + deleting)
+            p = min(tiny_share(mean), 1 - 1e-12)
+            few = sum(math.exp(math.lgamma(exact + 1) - math.lgamma(k + 1) - math.lgamma(exact - k + 1) + k * math.log(p) + (exact - k) * math.log1p(-p)) for k in range(min(spare, exact + 1)))
+            all_told = max(0.0, 1 - few)  # sets with so many tiny subsets that these have to be told
+            chance = math.exp(-2 * mean) * (exact * all_told**2 + deleting * (1 + 2 * mean))
+            cost = n_docs * (exact + deleting * (2 + mean)) + PAIR_COST * n_docs * n_docs / 2 * chance
+            if not best or cost < best[0]:
+                best = (cost, exact, deleting, spare)
+            elif cost > 1.2 * best[0] and spare > best[3] + 3:
+                break
+    return best[1:]
+
+
+def signatures(s: np.ndarray, plans: dict[int, tuple[int, int, int]], bands: Bands) -> np.ndarray:
     """All signatures of a set: for each band that it joins, a hash of every segment's subset, and for segments with
-    allowance 1 also a hash of that subset without each of its elements."""
+    allowance 1 also a hash of that subset without each of its elements. Tiny subsets of segments with allowance 0 are
+    left out if there are fewer of them than agreements to spare."""
     out = []
     element = mix(s * MIX_A + MIX_B)
     with np.errstate(over="ignore"):
         for band in bands.joined(len(s)):
             if bands.bound(band) == 0:
                 continue  # only equal sets link here, and these are one class already
-            exact, deleting = plans[band]
+            exact, deleting, spare = plans[band]
             m = exact + deleting
-            segment = (element >> U64(33)) % U64(m)
+            segment = ((element >> U64(33)) % U64(m)).astype(np.int64)
             sums = np.zeros(m, U64)
-            np.add.at(sums, segment.astype(np.int64), element)
+            np.add.at(sums, segment, element)
             salt = mix((U64(band) << U64(32)) + np.arange(m, dtype=U64))
-            out.append(mix(sums + salt))
+            tell = np.bincount(segment, minlength=m) > TINY
+            tell[exact:] = True
+            if m - np.count_nonzero(tell) >= spare:
+                tell[:] = True
+            out.append(mix(sums + salt)[tell])
             if deleting:
-                inside = segment >= U64(exact)
-                at = segment[inside].astype(np.int64)
+                inside = segment >= exact
+                at = segment[inside]
                 out.append(mix(sums[at] - element[inside] + salt[at]))
     return np.unique(np.concatenate(out)) if out else np.empty(0, U64)
 

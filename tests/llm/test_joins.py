@@ -77,16 +77,16 @@ def test_join_empty(spark):
     assert ngram_join.jaccard_components(spark, awkward.documents(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("plan", ["exact", "deleting", "mixed"])
+@pytest.mark.parametrize("plan", ["exact", "deleting", "mixed", "spare", "much to spare"])
 def test_linking_sets_share_a_signature(plan):
     rng, bands = np.random.default_rng(1), ngram_join.Bands(90)
     plans = {}
     for b in range(60):
-        h = bands.bound(b)
-        two = {"exact": 0, "deleting": (h + 1) // 2, "mixed": (h + 1) // 4}[plan]
-        plans[b] = (h + 1 - 2 * two, two)
+        h, spare = bands.bound(b), {"spare": 3, "much to spare": 9}.get(plan, 1)
+        two = {"deleting": (h + spare) // 2, "mixed": (h + 1) // 4}.get(plan, 0)
+        plans[b] = (h + spare - 2 * two, two, spare)
     met = 0
-    for _ in range(600):
+    for _ in range(900):
         size = int(rng.integers(9, 200))
         a = rng.integers(0, 1 << 62, size, dtype=np.int64).view(np.uint64)
         drop, add = int(rng.integers(0, size // 9 + 1)), int(rng.integers(0, size // 9 + 1))
@@ -100,9 +100,13 @@ def test_linking_sets_share_a_signature(plan):
 
 
 def test_allocation_follows_cost():
-    assert all(e + 2 * d == h + 1 for h in range(60) for n in (10, 10**6, 10**12) for e, d in [ngram_join.allocate(h, 9 * h + 8, n)])
-    assert ngram_join.allocate(20, 185, 10)[1] == 0  # few documents: exact segments write least
-    assert ngram_join.allocate(1, 12, 10**9)[1] == 1  # many: an empty half would meet all others
+    for h in range(1, 60):
+        for n in (10, 10**6, 10**12):
+            exact, deleting, spare = ngram_join.allocate(h, 9 * h + 8, n)
+            assert exact + 2 * deleting == h + spare and spare >= 1 and exact >= 0
+    assert ngram_join.allocate(20, 185, 10) == (21, 0, 1)  # few documents: the fewest signatures
+    assert ngram_join.allocate(42, 380, 10**6)[2] > 3  # more documents: some agreements to spare
+    assert ngram_join.allocate(1, 12, 10**9)[1] == 1  # small sets, many of them: an empty half would meet all others
 
 
 def plain_repeats(rows, size):
