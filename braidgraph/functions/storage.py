@@ -37,3 +37,13 @@ def number_rows(spark: SparkSession, df: DataFrame, order: list[Column], column:
     offsets = F.create_map(*[x for part, n in before.items() for x in (F.lit(part), F.lit(n))]) if before else F.create_map(F.lit(0), F.lit(0))
     local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return ranged.withColumn(column, offsets[F.shiftright("__at", 33)] + local + 1).drop("__at")
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete all written intermediates in the shared folder; results that still read them are lost
+    (and `testgraph.forget()` has to follow)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "table-*")) or []:
+        fs.delete(status.getPath(), True)

@@ -4,6 +4,8 @@ A plan is a list of units. A unit is a relation over some pattern vertices (colu
 edges (ins, del) and how many matches a row stands for (weight), if these are asked for. Units cover the pattern's edges once:
 
 - an edge: the view of its label triple;
+- a star: edges from a new vertex to two or more bound ones, joined on that vertex first and then on all bound ones at once, where
+  statistics say that this makes fewer rows than expanding along one edge and closing the others;
 - a shared sub-pattern: matches of a symmetric sub-pattern found once for each set of symmetric copies, then turned out
   by its automorphisms;
 - isomorphic sub-patterns: one written relation, renamed for each instance;
@@ -18,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidgraph.functions.pattern import Pattern, automorphic_subpatterns, blocks, isomorphic_subpatterns
@@ -28,6 +30,17 @@ from braidgraph.operators.graph import triple_view
 MODES = ("plain", "anchored", "shared_subpattern", "iso_subpattern", "factorised", "shared+factorised", "all")
 
 
+#: Shuffled joins build hash tables instead of sorting where every partition of a side is below this (checked at run time).
+HASH_SIDE = "64m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session setting for closing cycles: one side is an edge view, unique in the join's keys and so without skew."""
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if spark.conf.get(key, "0").rstrip("bB") == "0":
+        spark.conf.set(key, HASH_SIDE)
+
+
 @dataclass
 class Unit:
     """`covers`: numbers of the pattern edges that it stands for."""
@@ -49,6 +62,48 @@ def edge_unit(edges: DataFrame, p: Pattern, i: int, temporal: bool) -> Unit:
     return Unit(view.select(f"v{u}", f"v{v}", *(("ins", "del") if temporal else ())), (u, v), frozenset((i,)))
 
 
+def statistics(edges: DataFrame) -> dict[tuple[int, int, int], tuple[int, int, int]]:
+    """(label, edge label, label) -> edges, vertices on the one and on the other side (about); kept with the DataFrame."""
+    if not hasattr(edges, "_braidgraph_statistics"):
+        rows = edges.groupBy("src_label", "elabel", "dst_label").agg(F.count("*").alias("n"), F.approx_count_distinct("src").alias("s"), F.approx_count_distinct("dst").alias("d")).collect()
+        found: dict[tuple[int, int, int], tuple[int, int, int]] = {}
+        for r in rows:
+            found[r.src_label, r.elabel, r.dst_label] = (r.n, r.s, r.d)
+            found.setdefault((r.dst_label, r.elabel, r.src_label), (r.n, r.d, r.s))
+        edges._braidgraph_statistics = found
+    return edges._braidgraph_statistics
+
+
+def star_groups(edges: DataFrame, p: Pattern) -> list[frozenset[int]]:
+    """Groups of edges worth joining on their new vertex first."""
+    if len(p.edges) < 4 or all(len(p.adjacent[v]) < 2 for v in range(p.n)):
+        return []
+    known = statistics(edges)
+
+    def out_degree(v: int, w: int) -> float:
+        n, s, _ = known.get((p.labels[v], p.adjacent[v][w], p.labels[w]), (0, 1, 1))
+        return n / max(1, s)
+
+    order, groups = p.matching_order(), []
+    first = known.get((p.labels[order[0]], p.adjacent[order[0]][order[1]], p.labels[order[1]]), (0, 1, 1))
+    rows = float(first[0])
+    for i, x in enumerate(order[2:], 2):
+        near = [v for v in order[:i] if v in p.adjacent[x]]
+        expand = rows * min(out_degree(v, x) for v in near)
+        if len(near) > 1:
+            n, s, _ = known.get((p.labels[x], p.adjacent[x][near[0]], p.labels[near[0]]), (0, 1, 1))
+            star = float(s)
+            for v in near:
+                star *= out_degree(x, v)
+            if star < expand / 2:
+                groups.append(frozenset(e for e, (u, w, _) in enumerate(p.edges) if x in (u, w) and (u in near or w in near)))
+            for v in near[1:]:
+                n, s, d = known.get((p.labels[v], p.adjacent[v][x], p.labels[x]), (0, 1, 1))
+                expand *= n / max(1, s * d)
+        rows = max(1.0, expand)
+    return groups
+
+
 def join_units(p: Pattern, units: list[Unit], temporal: bool, weighted: bool = False, when: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All units joined in order of most common vertices with what is bound (ties: as listed)."""
     left = list(units[1:])
@@ -79,7 +134,7 @@ def join_units(p: Pattern, units: list[Unit], temporal: bool, weighted: bool = F
 def _listed(p: Pattern, units: list[Unit]) -> list[Unit]:
     """Units in the pattern's own join order: larger shares first, then edges as the matching order takes them, blocks last."""
     place = {e: i for i, e in enumerate(p.edge_order())}
-    return sorted(units, key=lambda x: (x.kind == "block", x.kind == "edge", min(place[e] for e in x.covers)))
+    return sorted(units, key=lambda x: (x.kind == "block", x.kind in ("edge", "star"), (max if x.kind == "star" else min)(place[e] for e in x.covers)))
 
 
 def shared_unit(edges: DataFrame, p: Pattern, vertices: tuple[int, ...], autos: list[tuple[int, ...]], temporal: bool) -> Unit:
@@ -115,6 +170,7 @@ def units_for(edges: DataFrame, p: Pattern, mode: str, temporal: bool) -> list[U
     """The units of a mode; what its analyses don't cover stays plain edges."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
+    prepare(edges.sparkSession)
     units: list[Unit] = []
     taken: set[int] = set()
     hidden: set[int] = set()  # inner vertices of blocks
@@ -136,6 +192,10 @@ def units_for(edges: DataFrame, p: Pattern, mode: str, temporal: bool) -> list[U
         for s, autos in automorphic_subpatterns(p):
             if not set(s) & hidden and not _edges_within(p, s) & taken:
                 add([shared_unit(edges, p, s, autos, temporal)])
+    for group in star_groups(edges, p):
+        if not group & taken:
+            parts = [edge_unit(edges, p, i, temporal) for i in sorted(group)]
+            add([Unit(join_units(p, parts, temporal), tuple(sorted({v for u in parts for v in u.vertices})), group, "star")])
     add([edge_unit(edges, p, i, temporal) for i in range(len(p.edges)) if i not in taken])
     return _listed(p, units)
 

@@ -93,3 +93,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if key not in _written:
         _written[key] = materialize(spark, build(), name)
     return _written[key]
+
+
+def forget() -> None:
+    """After the shared folder was cleared: write the tables again when they are asked for."""
+    _written.clear()

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from braidgraph.functions.pattern import Pattern
 from braidgraph.operators import graph
 from braidgraph.operators.stream import FOREVER, attach_updates, candidate_flips, counters, relevant, running_size
-from braidgraph.plans.compiler import MODES, explain
+from braidgraph.plans.compiler import MODES, explain, units_for
 from braidgraph.plans.match import continuous_match, continuous_matches, enumerate_matches, static_count, static_match
-from braidgraph.streaming.driver import UPDATES, ContinuousMatcher
+from braidgraph.streaming.driver import UPDATES, ContinuousMatcher, run_stream
+from braidgraph.streaming.progress import save_costs
 from tests import brute
 from tests.test_pattern import random_pattern
 
@@ -165,3 +166,43 @@ def test_core_numbers_and_offsets(spark):
 
 def test_explain_names_units():
     assert "block (4,) on 0" in explain(Pattern((6, 5, 5, 4, 3), ((0, 1, 2), (0, 2, 2), (1, 3, 3), (2, 3, 3), (0, 4, 1))), "all")
+
+
+def test_stars_are_joined_first_where_they_are_small(spark):
+    """A square over few-edged centres: the closing vertex comes as one star, and counts stay those of a plain version."""
+    rng = random.Random(8)
+    labels = {v: 0 for v in range(30)} | {v: 1 for v in range(30, 90)}
+    pairs = {(rng.randrange(6) if rng.random() < 0.7 else rng.randrange(30), v, 0) for v in range(30, 90) for _ in range(2)}
+    start, _ = tables(spark, labels, sorted(pairs), [])
+    p = Pattern((0, 1, 0, 1), ((0, 1, 0), (1, 2, 0), (2, 3, 0), (0, 3, 0)))
+    kinds = [u.kind for u in units_for(start, p, "plain", False)]
+    assert kinds == ["edge", "edge", "star"]
+    edges = {}
+    for u, v, k in pairs:
+        edges.setdefault((u, v), set()).add(k)
+    assert static_count(start, p).first().matches == brute.count(labels, edges, p)
+
+
+def test_costs_and_folder_stream(spark, tmp_path):
+    p = Pattern((0, 1), ((0, 1, 0),))
+    start, log = tables(spark, {0: 0, 1: 1, 2: 1}, [], [("+", 0, 1, 0), ("+", 0, 2, 0), ("-", 0, 1, 0)])
+    log.repartition(3, "update_id").write.parquet(str(tmp_path / "in"))
+    results = run_stream(spark, str(tmp_path / "in"), start, p, str(tmp_path / "run"), files_per_batch=100)
+    assert as_dict(results) == {(1, "+"): 1, (2, "+"): 1, (3, "-"): 1}
+    again = ContinuousMatcher(spark, start, p, str(tmp_path / "run")).start(spark.readStream.schema(UPDATES).parquet(str(tmp_path / "in")))
+    again.awaitTermination()
+    assert as_dict(results) == {(1, "+"): 1, (2, "+"): 1, (3, "-"): 1}  # nothing new: nothing changes
+    matcher = ContinuousMatcher(spark, start, p, str(tmp_path / "other"))
+    query = matcher.start(spark.readStream.schema(UPDATES).parquet(str(tmp_path / "in")))
+    query.awaitTermination()
+    save_costs(spark, query, str(tmp_path / "costs"))
+    assert spark.read.parquet(str(tmp_path / "costs")).agg(F.sum("rows")).first()[0] == 3
+
+
+def test_neighbour_maps_and_intersections(spark):
+    start, _ = tables(spark, {0: 0, 1: 1, 2: 1, 3: 0}, [(0, 1, 0), (0, 2, 0), (3, 1, 0)], [])
+    arcs = graph.both_ways(start)
+    assert {r.id: r.neighbours for r in graph.neighbour_map(arcs).collect()} == {0: {1: 2}, 1: {0: 2}, 2: {0: 1}, 3: {1: 1}}
+    pairs = spark.createDataFrame([(0, 3), (1, 2)], "a long, b long")
+    assert {(r.a, r.b): r.common for r in graph.intersect_adjacency(pairs, arcs).collect()} == {(0, 3): [1], (1, 2): [0]}
+    assert graph.edge_exists(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"), arcs, True).count() == 1
