@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import MIX_A, U64, arrow_schema, mix
+from braidgraph.llm.common import MIX_A, U64, arrow_schema, mix, tidied
 
 Q, ERRORS, BLOCK_ITEMS = 8, 8, 4096
 HITS = "doc_id long, item_id long, start long, length long, edits long"
@@ -189,7 +189,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q:
                     rows += [(i, index.value.ids[n], s, length, e) for n, s, length, e in hits(fold(t.as_py()), index.value)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-        return texts.mapInArrow(run, HITS)
+        return texts.mapInArrow(tidied(run), HITS)
 
     for row in items:
         block.append((row.item_id, row.text))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import arrow_schema, map_batches
+from braidgraph.llm.common import arrow_schema, map_batches, tidied
 
 ORDERS, BITS = 4, 13
 DIMENSIONS = 1 << BITS
@@ -117,7 +117,7 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
 
     # about 2 * `each` rows a language, 1 kB each
-    rows = sorted(usable.where(F.col("rank") < limits[F.col("lang")]).mapInArrow(vectors, "lang string, rank long, bits binary").collect(), key=lambda r: (r.lang, r.rank, bytes(r.bits)))
+    rows = sorted(usable.where(F.col("rank") < limits[F.col("lang")]).mapInArrow(tidied(vectors), "lang string, rank long, bits binary").collect(), key=lambda r: (r.lang, r.rank, bytes(r.bits)))
     taken: dict[str, int] = {}
     rows = [r for r in rows if taken.update({r.lang: taken.get(r.lang, 0) + 1}) or taken[r.lang] <= each]
     if not rows:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import arrow_schema
+from braidgraph.llm.common import arrow_schema, tidied
 
 FINDS = "doc_id long, license string, start long, end long, n_aligned long, n_template long, coverage double"
 COVERAGE = 80
@@ -199,4 +199,4 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
                 rows += [(i, name, a, b, n, size, n / size) for name, a, b, n, size in scan(t.as_py(), known, coverage)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FINDS)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), FINDS)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import MIX_A, MIX_B, U64, arrow_schema, components, map_batches, materialize, mix, signed, word_chunks
+from braidgraph.llm.common import MIX_A, MIX_B, U64, arrow_schema, components, map_batches, materialize, mix, signed, tidied, word_chunks
 
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Upper sizes of bands grow by this factor; members compared in one block.
@@ -266,7 +266,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
         if sigs:
             yield out()
 
-    signed_rows = texts.where("doc_id is not null").mapInArrow(sign, "sig long, doc long")
+    signed_rows = texts.where("doc_id is not null").mapInArrow(tidied(sign), "sig long, doc long")
     stars = signed_rows.withColumn("first", F.min("doc").over(Window.partitionBy("sig"))).where("doc <> first").select("doc", "first")
     to_rep = rows.where("doc_id is not null and n_shingles > 0").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep")
     a, b = to_rep.toDF("doc", "a"), to_rep.toDF("first", "b")
@@ -289,7 +289,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
     #: Every pair of parts of a cluster is one task of two blocks at most.
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
     tasks = sets.withColumn("pair", F.explode(pairs)).select(F.xxhash64("cluster", "pair.i", "pair.j").alias("task"), "part", "rep", "copies", "shingles")
-    links = materialize(spark, tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(percent), "a long, b long, links long"), "links")
+    links = materialize(spark, tasks.repartition("task").sortWithinPartitions("task").mapInArrow(tidied(_verify(percent)), "a long, b long, links long"), "links")
     found = components(spark, links.where("a <> b"), "components").select(F.col("node").alias("rep"), "component")
     degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     by_rep = classes.where("rep is not null").join(found, "rep", "left").join(degree, "rep", "left").select("k1", "k2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))

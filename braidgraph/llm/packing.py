@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import arrow_schema
+from braidgraph.llm.common import arrow_schema, tidied
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Fixed: the seed of the projection, the size of the hashed vector, grid bits a dimension, dimensions.
@@ -173,4 +173,4 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = 10
         packer.finish()
         yield packer.batch()
 
-    return ranged.select("doc_id", "text").mapInArrow(run, PIECES)
+    return ranged.select("doc_id", "text").mapInArrow(tidied(run), PIECES)

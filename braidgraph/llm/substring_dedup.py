@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import MIX_A, MIX_B, U64, Rolling, Words, arrow_schema, map_batches, materialize, mix, signed, utf8, word_chunks, words_of
+from braidgraph.llm.common import MIX_A, MIX_B, Rolling, U64, Words, arrow_schema, map_batches, materialize, mix, signed, tidied, utf8, word_chunks, words_of
 
 #: Counters of one block in one row of the sketch; counters for each pair in all; pairs of a task sketched at once.
 BLOCK_COUNTERS, COUNTERS_PER_ITEM, CHUNK = 1 << 20, 8, 1 << 20
@@ -169,7 +169,7 @@ def removed_windows(spark: SparkSession, texts: DataFrame, length: int) -> DataF
     singles = materialize(spark, joined.where("doc_id = rep").select("doc_id", "mins"), "singles")
     n_items = singles.agg(F.sum(F.size("mins")).alias("n")).first().n or 1
     blocks = max(1, -(-n_items * COUNTERS_PER_ITEM // (2 * BLOCK_COUNTERS)))
-    pairs = materialize(spark, singles.mapInArrow(_by_block(blocks), "block long, docs binary, items binary"), "pairs")
+    pairs = materialize(spark, singles.mapInArrow(tidied(_by_block(blocks)), "block long, docs binary, items binary"), "pairs")
     parts = map_batches(pairs, _sketch, "block long, row int, cells binary, counts binary")
     sketch = materialize(spark, parts.groupBy("block").applyInPandas(_merge, "block long, bits0 binary, bits1 binary"), "sketch")
     kept = map_batches(pairs.join(sketch, "block").select("docs", "items", "bits0", "bits1"), _estimated, "doc_id long, item long")
@@ -190,7 +190,7 @@ def removed_windows(spark: SparkSession, texts: DataFrame, length: int) -> DataF
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], schema=schema)
 
-    windows = texts.join(wanted, "doc_id").select("doc_id", "text", "mins").mapInArrow(hash_wanted, "w1 long, w2 int, doc_id long")
+    windows = texts.join(wanted, "doc_id").select("doc_id", "text", "mins").mapInArrow(tidied(hash_wanted), "w1 long, w2 int, doc_id long")
     repeated = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("w1", "w2"))).where("doc_id > first")
     return repeated.select("doc_id", F.col("w1").alias("gone")).union(copies).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
 
