@@ -34,9 +34,10 @@ def number_rows(spark: SparkSession, df: DataFrame, order: list[Column], column:
     before, total = {}, 0
     for part, n in sizes:
         before[part], total = total, total + n
-    offsets = F.create_map(*[x for part, n in before.items() for x in (F.lit(part), F.lit(n))]) if before else F.create_map(F.lit(0), F.lit(0))
+    offsets = spark.createDataFrame(list(before.items()), "__part long, __before long")  # one row a partition
     local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.withColumn(column, offsets[F.shiftright("__at", 33)] + local + 1).drop("__at")
+    placed = ranged.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(offsets), "__part")
+    return placed.withColumn(column, F.col("__before") + local + 1).drop("__at", "__part", "__before")
 
 
 def clear_intermediates(spark: SparkSession) -> None:

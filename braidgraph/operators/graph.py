@@ -80,8 +80,8 @@ def degree_offsets(spark: SparkSession, arcs: DataFrame) -> DataFrame:
     totals, at = {}, 0
     for r in sorted(ranged.groupBy("part").agg(F.sum("degree").alias("n")).collect()):
         totals[r.part], at = at, at + r.n
-    base = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(v))]) if totals else F.create_map(F.lit(0), F.lit(0))
-    return inside.select("id", "degree", (F.col("before") + base[F.col("part")]).cast("long").alias("offset"))
+    base = spark.createDataFrame(list(totals.items()), "part int, base long")  # one row a partition
+    return inside.join(F.broadcast(base), "part").select("id", "degree", (F.col("before") + F.col("base")).cast("long").alias("offset"))
 
 
 def neighbour_labels(arcs: DataFrame) -> DataFrame:
