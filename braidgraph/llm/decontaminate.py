@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from braidgraph.llm.common import MIX_A, U64, arrow_schema, mix, tidied
 
-Q, ERRORS, BLOCK_ITEMS = 8, 8, 4096
+Q, ERRORS, BLOCK_ITEMS = 9, 8, 4096
 HITS = "doc_id long, item_id long, start long, length long, edits long"
 SLOTS_BITS = 22
 _SPACE = 32
@@ -126,6 +126,15 @@ def align(item: np.ndarray, region: np.ndarray, limit: int) -> tuple[int, int] |
     return best, int(np.flatnonzero(row == best)[-1]) + m - limit
 
 
+def last_place(item: np.ndarray, region: np.ndarray) -> int | None:
+    """Where an item last stands unchanged in a region."""
+    part, whole = item.astype("<u4").tobytes(), region.astype("<u4").tobytes()
+    at = whole.rfind(part)
+    while at % 4 and at > 0:
+        at = whole.rfind(part, 0, at + len(part) - 1)
+    return at // 4 if at >= 0 and at % 4 == 0 else None
+
+
 def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     """(item number, start, length, edits) in folded text: the best region of each item that the text holds."""
     found: dict[int, tuple[int, int, int]] = {}
@@ -135,6 +144,9 @@ def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
         low, high = max(0, low), min(len(codes), high)
         if n in found and found[n][2] == 0:
             return
+        if (at := last_place(item, codes[low:high])) is not None:
+            found[n] = (low + at, len(item), 0)
+            return
         got = align(item, codes[low:high], limit)
         if got and (n not in found or got[0] < found[n][2]):
             back = align(item[::-1], codes[low : low + got[1]][::-1], limit)
@@ -149,10 +161,8 @@ def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
         at, first, many = at[many > 0], first[many > 0], many[many > 0]
         entry = np.repeat(first - np.cumsum(np.r_[0, many[:-1]]), many) + np.arange(many.sum())
         item, diagonal = index.owner[entry], np.repeat(at, many) - index.place[entry]
-        enough = np.bincount(item, minlength=len(index.texts)) >= index.needed
-        for n in np.unique(item):
-            if not enough[n]:
-                continue
+        enough = np.bincount(item, minlength=len(index.texts)) >= np.maximum(index.needed, 1)
+        for n in np.flatnonzero(enough):
             d, width, m = diagonal[item == n], int(index.edits[n]) + 1, len(index.texts[n])
             band, count = np.unique((d + m) // width, return_counts=True)
             single = dict(zip(band.tolist(), count.tolist(), strict=True))
