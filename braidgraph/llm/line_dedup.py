@@ -109,7 +109,8 @@ def recurring_lines(spark: SparkSession, texts: DataFrame, min_docs: int, simila
     shape = constant.groupBy("line", "leaf", "n").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("place", "word")).alias("shape"))
     template = materialize(spark, shape.where(100 * F.col("constants") >= similarity * F.col("n")).select("line", F.xxhash64("leaf", "shape").alias("template")), "templates")
     assigned = lines.select("doc_id", "line", "place").join(template, "line", "left").withColumn("template", F.coalesce("template", "line"))
-    recur = assigned.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
+    users = assigned.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    recur = materialize(spark, users.where(F.col("docs") >= min_docs), "recurring")  # its own table, so that a hot template's rows can be split in the join
     gone = assigned.join(recur, "template").where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("place", "line")).alias("gone"))
     return gone.select("doc_id", F.col("gone.place").alias("places"), F.col("gone.line").alias("keys"))
 
