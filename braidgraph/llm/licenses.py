@@ -5,7 +5,8 @@ words occurs in the text at all, which rules nearly every template out for nearl
 the rest, the text's places of template words are cut where a gap is longer than the template, and each stretch is aligned: words unique to
 both sides anchor it, their longest increasing subsequence is kept, and the gaps between anchors are
 aligned in the same way (common ends first; small gaps without unique words by longest common subsequence).
-A stretch whose alignment covers at least `coverage` percent of the template is a find.
+A stretch whose alignment covers at least `coverage` percent of the template is a find, at the start that aligns most words; what lies
+before and behind it in the stretch is searched again.
 
 Defined results: null and empty texts give no find; null doc_ids and repeated rows are scanned row by row; where finds of
 several templates overlap, the one with more aligned words stays (ties: the template's order); an empty table gives
@@ -151,16 +152,14 @@ def scan(text: str | None, templates: list[Template], coverage: int = COVERAGE)
                 stretches[-1][1] = i
             else:
                 stretches.append([i, i])
-        for low, high in stretches:
-            while low <= high:  # a stretch may hold a text several times, or common words before it
-                if 100 * t.reach(set(words[low : high + 1])) < coverage * size:
-                    break
-                found = _best(words, low, high, t, coverage)
-                if found is None:
-                    break
+        while stretches:  # a stretch may hold a text several times, or common words before it
+            low, high = stretches.pop()
+            if low > high or 100 * t.reach(set(words[low : high + 1])) < coverage * size:
+                continue
+            if found := _best(words, low, high, t, coverage):
                 first, last, aligned = found
                 finds.append((aligned, order, t.name, first, last, size))
-                low = last + 1
+                stretches += [[low, first - 1], [last + 1, high]]
     finds.sort(key=lambda f: (-f[0], f[1], f[3]))
     kept: list[tuple] = []
     for f in finds:
@@ -170,21 +169,32 @@ def scan(text: str | None, templates: list[Template], coverage: int = COVERAGE)
 
 
 def _best(words: list[str], low: int, high: int, t: Template, coverage: int) -> tuple[int, int, int] | None:
-    """First window of a stretch whose alignment covers enough: (first word, last word, aligned words)."""
+    """Best window among those that start before the end of the first one whose alignment covers enough: (first word, last word,
+    aligned words), with most aligned words, then fewest words in all."""
     size = len(t.words)
     width = size + size * (100 - coverage) // 100 + 2
     #: A find must hold one of the first words of the template; which can be missing: so many.
     heads = set(t.words[: size * (100 - coverage) // 100 + 1])
+    best: tuple[int, int, int] | None = None
+    end = high
     for start in range(low, high + 1):
+        if start > end or (best and best[2] == size):
+            break
         if words[start] not in heads:
             continue
         part = words[start : min(high + 1, start + width)]
-        if 100 * t.reach(set(part)) < coverage * size:
+        reach = t.reach(set(part))
+        if 100 * reach < coverage * size or (best and reach < best[2]):
             continue
         pairs = patience(part, t.words)
-        if 100 * len(pairs) >= coverage * size:
-            return start + pairs[0][0], start + pairs[-1][0], len(pairs)
-    return None
+        if 100 * len(pairs) < coverage * size:
+            continue
+        first, last = start + pairs[0][0], start + pairs[-1][0]
+        if best is None:
+            end = last
+        if best is None or (len(pairs), best[1] - best[0]) > (best[2], last - first):
+            best = first, last, len(pairs)
+    return best
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: int = COVERAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -132,6 +132,21 @@ def test_licenses(spark):
     assert licenses.find_licenses(awkward.documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("gap", range(1, 33, 4))
+def test_common_words_before_a_license(gap):
+    """The whole license is found, not what a window from an earlier head word holds of it; a damaged copy before it stays a find."""
+    known = [licenses.Template(k, v) for k, v in licenses.TEMPLATES.items() if k in ("mit", "isc", "bsd", "gpl-3.0")]
+    for name in ("mit", "isc", "bsd", "gpl-3.0"):
+        text, size = licenses.TEMPLATES[name], len(licenses.words_of(licenses.TEMPLATES[name]))
+        fill = " zzz" * min(gap, size // 5 - 1)
+        before = f"{licenses.words_of(text)[1]}{fill} {licenses.words_of(text)[2]}{fill} "
+        whole = [f for f in licenses.scan(before + text + " end", known) if f[0] == name]
+        assert whole == [(name, len(before), len(before) + len(text.rstrip(".")), size, size)]
+        damaged = " ".join(text.split()[: -(size // 8)])
+        two = [f for f in licenses.scan(f"{before}{damaged} {text}", known) if f[0] == name]
+        assert len(two) == 2 and two[0][3] < two[1][3] == size
+
+
 def test_every_template_finds_itself():
     known = [licenses.Template(k, v) for k, v in licenses.TEMPLATES.items()]
     for name, text in licenses.TEMPLATES.items():
