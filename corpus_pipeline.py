@@ -2,7 +2,7 @@
 
 1. language: documents without a letter, or that no language claims (score below LEAST_SCORE), go.
 2. lines: recurring lines go, save in their first document; documents left without any word go if they had one.
-3. near_duplicates: one document (the smallest doc_id) of each group of linked documents stays.
+3. near_duplicates: one document (the smallest doc_id) of each group of documents linked by five-word shingles at Jaccard 0.8 stays.
 4. benchmark: documents that hold a passage of the benchmark go.
 5. packing: the rest becomes pieces of sequences.
 
@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.ship(spark)
-    return ngram_join.keep_one(spark, docs, k=3, percent=90).select(docs.columns)
+    return ngram_join.keep_one(spark, docs, k=5, percent=80).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
