@@ -9,6 +9,9 @@ The model is fitted on the driver from at most `per_language` labelled rows of e
 all), taken by a hash of doc_id from the rows that training may use: lang known and crc32(doc_id) mod 5 not 0.
 Every row is predicted, from its text alone.
 
+A set of grams fills as a text grows, so a text of more than WINDOW letters and spaces is cut into windows of equal length that cover
+all of it; its margins are the means of its windows'. A training row gives one window, chosen by its hash.
+
 Defined results: a null text, or one without a letter, is `und` with score 0; a null doc_id is predicted but never held
 out or learned from; without any labelled row everything is `und`. Only the named columns are read.
 """
@@ -27,6 +30,7 @@ from braidgraph.llm.common import arrow_schema, map_batches, tidied
 
 ORDERS, BITS = 4, 13
 DIMENSIONS = 1 << BITS
+WINDOW = 2048
 PER_LANGUAGE, SAMPLE_ROWS, LANDMARKS, RIDGE = 400, 8000, 192, 1e-3
 PREDICTED = "doc_id long, lang_pred string, score double"
 #: Odd multipliers of the gram hashes (fixed values).
@@ -34,8 +38,8 @@ STEP, FINAL = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _letters = np.array([chr(c).isalpha() for c in range(0x3000)])
 
 
-def spectrum(text: str | None) -> np.ndarray | None:
-    """The 0/1 vector of a text, None without a letter."""
+def letters(text: str | None) -> np.ndarray | None:
+    """Code points of a text's letters, all else one space; None without a letter."""
     if not text:
         return None
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -48,7 +52,11 @@ def spectrum(text: str | None) -> np.ndarray | None:
         return None
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    c = np.concatenate([[np.uint32(32)], np.where(letter, codes, np.uint32(32))[keep]]).astype(np.uint32)
+    return np.concatenate([[np.uint32(32)], np.where(letter, codes, np.uint32(32))[keep]]).astype(np.uint32)
+
+
+def presence(c: np.ndarray) -> np.ndarray:
+    """The 0/1 vector of the grams of some letters."""
     out = np.zeros(DIMENSIONS, np.uint8)
     h = np.zeros(len(c), np.uint32)
     for n in range(1, min(ORDERS, len(c)) + 1):
@@ -59,6 +67,23 @@ def spectrum(text: str | None) -> np.ndarray | None:
     return out
 
 
+def spectrum(text: str | None) -> np.ndarray | None:
+    """The 0/1 vector of a whole text, None without a letter."""
+    c = letters(text)
+    return None if c is None else presence(c)
+
+
+def cuts(c: np.ndarray) -> np.ndarray:
+    """Where the windows of some letters start, and the end of the last."""
+    n = -(-len(c) // WINDOW)
+    return np.arange(n + 1) * len(c) // n
+
+
+def window(c: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The 0/1 vector of window k; grams that reach into the next window count here."""
+    return presence(c[at[k] : at[k + 1] + ORDERS - 1])
+
+
 @dataclass
 class Model:
     """landmarks: DIMENSIONS x m, columns scaled by their own count; weights: m x languages."""
@@ -72,7 +97,9 @@ class Model:
         return kernel / np.maximum(np.linalg.norm(kernel, axis=1, keepdims=True), 1e-9)
 
     def predict(self, vectors: np.ndarray) -> tuple[list[str], np.ndarray]:
-        margins = self.features(vectors) @ self.weights
+        return self.choose(self.features(vectors) @ self.weights)
+
+    def choose(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
         best = margins.argmax(axis=1)
         return [self.languages[b] for b in best], np.clip((margins[np.arange(len(best)), best] + 1) / 2, 0, 1).astype(float)
 
@@ -112,7 +139,11 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE)
     def vectors(batches):
         schema = arrow_schema("lang string, rank long, bits binary")
         for batch in batches:
-            made = [(k, r, np.packbits(v).tobytes()) for k, t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) if (v := spectrum(t)) is not None]
+            made = []
+            for k, t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (c := letters(t)) is not None:
+                    at = cuts(c)
+                    made.append((k, r, np.packbits(window(c, at, r % (len(at) - 1))).tobytes()))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
 
@@ -126,12 +157,33 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE)
 
 
 def _predict_some(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float]]:
-    found = [spectrum(t) for t in texts]
-    some = [n for n, v in enumerate(found) if v is not None]
-    lang, score = ["und"] * len(found), [0.0] * len(found)
-    if some and model is not None:
-        for n, k, s in zip(some, *model.predict(np.array([found[n] for n in some])), strict=True):
-            lang[n], score[n] = k, float(s)
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    if model is None:
+        return lang, score
+    margins, windows = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    vectors: list[np.ndarray] = []
+    owners: list[int] = []
+
+    def add():
+        if vectors:
+            np.add.at(margins, owners, model.features(np.array(vectors)) @ model.weights)
+            vectors.clear()
+            owners.clear()
+
+    for n, t in enumerate(texts):
+        if (c := letters(t)) is None:
+            continue
+        at = cuts(c)
+        for k in range(len(at) - 1):
+            vectors.append(window(c, at, k))
+            owners.append(n)
+            if len(vectors) == 128:
+                add()
+        windows[n] = len(at) - 1
+    add()
+    some = np.flatnonzero(windows)
+    for n, k, s in zip(some.tolist(), *model.choose(margins[some] / windows[some, None]), strict=True):
+        lang[n], score[n] = k, float(s)
     return lang, score
 
 

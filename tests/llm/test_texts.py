@@ -184,6 +184,19 @@ def test_language(spark):
     assert language_id.identify(spark, df.limit(0)).collect() == []
 
 
+def test_language_of_long_texts():
+    """A text of a million characters and more keeps its language, and the score of a short one."""
+    rng = random.Random(11)
+    kinds = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 9))) for _ in range(20_000)] for k, a in (("x", "abcdefghijklmn"), ("y", "ghijklmnopqrst"), ("z", "mnopqrstuvwxyz"))}
+    some = [(k, " ".join(rng.choice(words) for _ in range(300))) for k, words in kinds.items() for _ in range(40)]
+    model = language_id.train(np.array([language_id.spectrum(t) for _, t in some]), [k for k, _ in some])
+    for k, words in kinds.items():
+        texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (300, 8_000, 200_000, 350_000)]
+        assert len(texts[2]) > 1_000_000
+        lang, score = language_id._predict_some([None, *texts, "1 2"], model)
+        assert lang == ["und", k, k, k, k, "und"] and min(score[1:5]) > 0.9 * score[1] > 0.6
+
+
 def test_spectrum_against_kernel():
     a, b = "Schöne Zeit!", "schön  zeitig"
     grams = lambda t: {(" " + re.sub(r"[^a-zäöüß]+", " ", t.lower()))[i : i + n] for n in range(1, 5) for i in range(len(re.sub(r"[^a-zäöüß]+", " ", t.lower())) + 2 - n)}
