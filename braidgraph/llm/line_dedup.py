@@ -77,7 +77,7 @@ def recurring_lines(spark: SparkSession, texts: DataFrame, min_docs: int, simila
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     lines = materialize(spark, texts.where("doc_id is not null").mapInArrow(tidied(parse), "doc_id long, line long, leaf long, n int, place int, first boolean"), "lines")
-    each = lines.where("first").groupBy("line", "leaf", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("rep"))
+    each = lines.where("first").select("line", "leaf", "n", "doc_id").distinct().groupBy("line", "leaf", "n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("rep"))
     wide = each.where(F.col("n") >= min_words)
     leaves = wide.groupBy("leaf").agg(F.sum("docs").alias("in_leaf"), F.count("*").alias("kinds")).where((F.col("in_leaf") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
     looked = materialize(spark, wide.join(leaves, "leaf", "left_semi"), "leaves")
@@ -103,7 +103,7 @@ def recurring_lines(spark: SparkSession, texts: DataFrame, min_docs: int, simila
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
 
-    words = materialize(spark, texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(tidied(places), "line long, leaf long, docs long, n int, place int, word long"), "places")
+    words = materialize(spark, texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(tidied(places), "line long, leaf long, docs long, n int, place int, word long").distinct(), "places")  # rows that share the representative's doc_id give its lines again
     common = words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
     constant = words.join(common, ["leaf", "place", "word"], "left_semi")
     shape = constant.groupBy("line", "leaf", "n").agg(F.count("*").alias("constants"), F.bit_xor(F.xxhash64("place", "word")).alias("shape"))

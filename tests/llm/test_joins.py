@@ -225,6 +225,21 @@ def test_line_templates(spark, seed, monkeypatch):
     assert sorted(((r.doc_id, r.text or "", r["__dropped"]) for r in full.collect()), key=key) == sorted(((r[0], r[1], r[3]) for r in want), key=key)
 
 
+def test_repeated_rows_make_no_template(spark):
+    """Every row twice, and two texts of one doc_id: lines that share two words of five beyond their head stay apart."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(200, 224):
+        own = [f"w{'abcdefghijklmnopqrstuvwxyz'[i - 200]}{x}" for x in "pqrst"]
+        rows.append((i, f"read all about this {' '.join(own)} today\n" + awkward.prose(rng, 9)))
+    rows += [(i, f"read all about the {rng.choice(['cats', 'dogs'])} in our next long weekly letter") for i in range(300, 312)]
+    rows += [(300, "read all about the cats in our next long weekly letter\nand one more"), (301, "another text of this document")]
+    twice = [r for r in rows for _ in range(2)]
+    got = [tuple(r) for r in line_dedup.dedup_lines(spark, awkward.documents(spark, twice)).collect()]
+    assert sorted(got, key=key) == sorted(plain_lines(twice, 10, 75, 8), key=key)
+    assert not any(r[3] for r in got if 200 <= r[0] < 224) and any(r[3] for r in got)
+
+
 def test_lines_empty(spark):
     assert line_dedup.dedup_lines(spark, awkward.documents(spark, [])).collect() == []
 
