@@ -17,9 +17,11 @@ strings; an empty benchmark or table gives no hit. Only the named columns are re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,12 +186,23 @@ def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     return [(n, *x) for n, x in sorted(found.items())]
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items that have a text, BLOCK_ITEMS at a time."""
+    block = []
+    for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
+        block.append((row.item_id, row.text))
+        if len(block) == BLOCK_ITEMS:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, errors: int = ERRORS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """HITS: for each row of docs and item that it holds within `errors` percent edits: place in the folded text, length, edits."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     schema = arrow_schema(HITS)
     found = None
-    items, block = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator(), []
 
     def search(index):
         def run(batches):
@@ -201,15 +214,25 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q:
 
         return texts.mapInArrow(tidied(run), HITS)
 
-    for row in items:
-        block.append((row.item_id, row.text))
-        if len(block) == BLOCK_ITEMS:
-            part, block = search(spark.sparkContext.broadcast(build(block, q, errors))), []
-            found = part if found is None else found.union(part)
-    if block or found is None:
+    for block in _blocks(benchmark):
         part = search(spark.sparkContext.broadcast(build(block, q, errors)))
         found = part if found is None else found.union(part)
-    return found
+    return search(spark.sparkContext.broadcast(build([], q, errors))) if found is None else found
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, errors: int = ERRORS) -> DataFrame:
+    """docs without the rows whose text holds an item; judged row by row, so that no doc_id is needed."""
+
+    def free(index):
+        @F.pandas_udf("boolean")
+        def judge(texts: pd.Series) -> pd.Series:
+            return pd.Series([t is None or not hits(fold(t), index.value) for t in texts], dtype=bool)
+
+        return judge("text")
+
+    for block in _blocks(benchmark):
+        docs = docs.where(free(spark.sparkContext.broadcast(build(block, q, errors))))
+    return docs
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, errors: int = ERRORS) -> DataFrame:

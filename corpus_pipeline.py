@@ -7,7 +7,8 @@
 5. packing: the rest becomes pieces of sequences.
 
 All stages but the last return the columns of documents, n_chars being that of the text they return. Repeated rows
-of one doc_id are treated alike; rows whose doc_id is null are never dropped for what they share with others.
+of one doc_id are treated alike; rows whose doc_id is null are never dropped for what they share with others, but go if they
+hold a passage of the benchmark.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.ship(spark)
-    return decontaminate.drop_contaminated(spark, docs, common.table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.without_contaminated(spark, docs, common.table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

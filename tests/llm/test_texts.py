@@ -303,3 +303,15 @@ def test_contaminated_rows(spark, monkeypatch):
     assert decontaminate.contaminated(spark, docs.limit(0), bench).collect() == []
     kept = decontaminate.drop_contaminated(spark, docs, bench)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3 and kept.where(F.col("doc_id").isin(80, 81, 82)).count() == 0
+
+
+def test_rows_without_id_are_decontaminated(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, awkward.prose(random.Random(3), 40)), (2, awkward.prose(random.Random(4), 30))], "item_id long, text string")
+    held = [r.text for r in bench.collect()]
+    docs = awkward.documents(spark, [(None, "before " + held[0]), (None, held[1] + " after"), (None, "a text of its own"), (None, None), (5, held[0]), (5, "other"), (6, "")])
+    for _ in range(2):
+        kept = decontaminate.without_contaminated(spark, docs, bench)
+        assert kept.columns == docs.columns
+        assert sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in kept.collect()) == [(-1, ""), (-1, "a text of its own"), (5, "other"), (6, "")]
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
+    assert decontaminate.without_contaminated(spark, docs, bench.limit(0)).count() == 7
