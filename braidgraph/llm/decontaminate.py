@@ -11,8 +11,8 @@ sent to the executors and met by every document. Documents meet nothing else, so
 frequent q-grams or sources make no hot task.
 
 Defined results: null and empty texts, items without a letter or digit and null items match nothing; rows with one
-doc_id or a null doc_id are judged row by row; items shorter than the q-grams needed are searched as whole
-strings; an empty benchmark or table gives no hit. Only the named columns are read.
+doc_id or a null doc_id are judged row by row; items too short to share a q-gram are found by the unchanged one of edits + 1
+pieces, or as whole words if they have no edit to spare; an empty benchmark or table gives no hit. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -137,6 +137,31 @@ def last_place(item: np.ndarray, region: np.ndarray) -> int | None:
     return at // 4 if at >= 0 and at % 4 == 0 else None
 
 
+def pieces(item: np.ndarray, limit: int, whole: bytes) -> list[list[int]]:
+    """Regions of a text (4 bytes a code point) that may hold an item within `limit` edits: of limit + 1 pieces of the item,
+    one stands there unchanged."""
+    m = len(item)
+    if limit >= m:
+        return [[0, len(whole) // 4]]
+    cut = [m * k // (limit + 1) for k in range(limit + 2)]
+    near = set()
+    for a, b in zip(cut, cut[1:], strict=False):
+        part = item[a:b].astype("<u4").tobytes()
+        at = whole.find(part)
+        while at >= 0:
+            if at % 4 == 0:
+                near.add(at // 4 - a)
+            at = whole.find(part, at + 1)
+    regions: list[list[int]] = []
+    for x in sorted(near):
+        low, high = x - limit, x + m + limit
+        if regions and low <= regions[-1][1]:
+            regions[-1][1] = high
+        else:
+            regions.append([low, high])
+    return regions
+
+
 def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     """(item number, start, length, edits) in folded text: the best region of each item that the text holds."""
     found: dict[int, tuple[int, int, int]] = {}
@@ -172,10 +197,14 @@ def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
                 if single.get(b, 0) + single.get(b + 1, 0) >= index.needed[n]:
                     low = b * width - m
                     judge(int(n), low - width, low + 2 * width + m + width)
+    whole = codes.astype("<u4").tobytes() if index.short else b""
     for n in index.short:
         item = index.texts[n]
         size = len(item)
-        if len(codes) >= size:
+        if index.edits[n]:
+            for low, high in pieces(item, int(index.edits[n]), whole):
+                judge(n, low, high)
+        elif len(codes) >= size:
             same = np.ones(len(codes) - size + 1, bool)
             for k in range(size):
                 same &= codes[k : len(codes) - size + 1 + k] == item[k]

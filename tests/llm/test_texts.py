@@ -305,6 +305,17 @@ def test_contaminated_rows(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3 and kept.where(F.col("doc_id").isin(80, 81, 82)).count() == 0
 
 
+@pytest.mark.parametrize("size", range(10, 32))
+def test_short_items_keep_their_edits(size):
+    rng = random.Random(size)
+    for k in range(20):
+        item = "".join(rng.choice("abcdefgh") for _ in range(size))
+        text = "x" * rng.randrange(9) + " " + edited(rng, item, rng.randrange(size * 8 // 100 + 1)) + " " + "yz" * rng.randrange(9)
+        index = decontaminate.build([(k, item)])
+        best = plain_align(codes(item).tolist(), codes(text).tolist(), size * 8 // 100)
+        assert [e for _, _, _, e in decontaminate.hits(decontaminate.fold(text), index)] == ([best[0]] if best else [])
+
+
 def test_rows_without_id_are_decontaminated(spark, monkeypatch):
     bench = spark.createDataFrame([(1, awkward.prose(random.Random(3), 40)), (2, awkward.prose(random.Random(4), 30))], "item_id long, text string")
     held = [r.text for r in bench.collect()]
