@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
 A page's elements are named by generalised paths (tag, and class or id with digits as #). Every page scores its containers:
-a block of text gives its length, without link text, to its parent and half of it to the one above. Each page votes
-for its best container's path; votes are added up by host in Spark (one row a page, summed before the shuffle), and
+a block of text gives its length, without link text, to its parent and half of it to the one above; inside an article, or else a main
+element, the outermost one counts as its parent. From the best one a page climbs to an ancestor, as long as what that adds is text
+and not mostly links (never out of a main element, or of an article without one). Each page votes for the path that it reaches; votes are added up by host in Spark (one row a page, summed before the shuffle), and
 each host's path with most votes wins. All pages are then extracted again at their host's path; a page that
-lacks it, or has no text there, uses its own best container.
+lacks it, or has no text there, uses its own path.
 
 Left out at any depth: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments and hidden
 elements, known by tag, role, or class and id words. White space inside a block becomes one space, and blocks are
@@ -169,17 +170,19 @@ def best_container(root: Element) -> tuple[Element, float]:
     """The container with the most text of its own blocks, and its score."""
     score: Counter[int] = Counter()
     seen: dict[int, Element] = {}
-    work = [(root, root, False)]
+    work = [(root, root, False, None)]
     while work:
-        node, block, link = work.pop()
+        node, block, link, whole = work.pop()
         link = link or node.tag == "a"
+        if node.tag == "article" and (whole is None or whole.tag == "main") or node.tag == "main" and whole is None:
+            whole = node
         if node.tag in BLOCKS:
             block = node
         for child in node.children:
             if isinstance(child, str):
                 if not link and (size := len(child.strip())):
                     #: Text right inside a container counts for it; text of a paragraph counts for what holds the paragraph.
-                    holder = block if block.tag in ("div", "section", "article", "main", "body", "td", "") else block.parent or root
+                    holder = whole or (block if block.tag in ("div", "section", "article", "main", "body", "td", "") else block.parent or root)
                     for share in (1.0, 0.5):
                         score[id(holder)] += size * share
                         seen[id(holder)] = holder
@@ -187,13 +190,64 @@ def best_container(root: Element) -> tuple[Element, float]:
                             break
                         holder = holder.parent
             else:
-                work.append((child, block, link))
+                work.append((child, block, link, whole))
     if not score:
         return root, 0.0
     top = max(score.values())
     return next(seen[k] for k, v in score.items() if v == top), top
 
 
+def amounts(root: Element) -> dict[int, tuple[int, int]]:
+    """Characters of text, and those outside links, in each element's subtree."""
+    order: list[tuple[Element, bool]] = []
+    work = [(root, False)]
+    while work:
+        node, link = work.pop()
+        link = link or node.tag == "a"
+        order.append((node, link))
+        work += [(x, link) for x in node.children if not isinstance(x, str)]
+    total: dict[int, tuple[int, int]] = {}
+    for node, link in reversed(order):
+        own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        below = [total[id(x)] for x in node.children if not isinstance(x, str)]
+        total[id(node)] = own + sum(x[0] for x in below), (0 if link else own) + sum(x[1] for x in below)
+    return total
+
+
+def main_container(root: Element) -> tuple[Element, float]:
+    """The best container or the highest ancestor that adds text to it and not mostly links, and the best one's score."""
+    best, score = best_container(root)
+    above, node = [], best
+    while node.parent:
+        node = node.parent
+        above.append(node)
+    kinds = [x.tag for x in [best, *above]]
+    if "main" in kinds:
+        above = above[: kinds.index("main")]
+    elif "article" in kinds:
+        above = above[: len(kinds) - 1 - kinds[::-1].index("article")]
+    if not above:
+        return best, score
+    total = amounts(root)
+    text, plain = total[id(best)]
+    chosen, most = best, 0
+    for node in above:
+        more, bare = total[id(node)][0] - text, total[id(node)][1] - plain
+        if more > most and 3 * bare >= 2 * more:
+            chosen, most = node, more
+    return chosen, score
+
+
+def raised(node: Element) -> Element:
+    """The outermost article around an element, or else main element, or itself."""
+    found = node
+    while node:
+        if node.tag == "article" or (node.tag == "main" and found.tag != "article"):
+            found = node
+        node = node.parent
+    return found
+
+
 def at_path(root: Element, path: str) -> list[Element]:
     """Outermost elements of a path, in page order."""
     found, work = [], [root]
@@ -207,12 +261,21 @@ def at_path(root: Element, path: str) -> list[Element]:
 
 
 def extract(source: str | None, path: str | None) -> str:
-    """Main text at the host's path, else at the page's own best container."""
+    """Main text at the host's path, else at the page's own."""
     if not source:
         return ""
     root = parse(source)
-    found = [b for x in at_path(root, path) for b in blocks(x)] if path else []
-    return "\n".join(found or blocks(best_container(root)[0]))
+    found = texts_at(root, path) if path else []
+    if not found:
+        node, _ = main_container(root)
+        found = texts_at(root, node.path) if node.path else blocks(node)
+    return "\n".join(found)
+
+
+def texts_at(root: Element, path: str) -> list[str]:
+    """Blocks of the elements of a path, or of the articles around them, each once."""
+    nodes = {id(x): x for x in map(raised, at_path(root, path))}
+    return [b for x in nodes.values() for b in blocks(x)]
 
 
 def host_of(url: str | None) -> str:
@@ -230,7 +293,7 @@ def host_paths(spark: SparkSession, pages: DataFrame, url: str = "url", source:
         scores: Counter[tuple[str, str]] = Counter()
         for u, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if page := h.as_py():
-                node, score = best_container(parse(page))
+                node, score = main_container(parse(page))
                 votes[host_of(u), node.path] += 1
                 scores[host_of(u), node.path] += round(score)
         return {"host": [k[0] for k in votes], "path": [k[1] for k in votes], "votes": list(votes.values()), "score": [scores[k] for k in votes]}

@@ -229,6 +229,29 @@ def test_extraction(spark):
     assert paths["host.example"] == "/div.col-#/div.entry-#.main"
 
 
+LONG = "A long sentence of the body that goes on for a while. " * 8
+MENU = "<div class=teasers><a href=x>another page of ours to read</a> <a href=y>and one more of them</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>Head</h1><div class=lead><p>Lead.</p></div><div class=body><p>{}</p></div></article>" + MENU,
+        "<main><h1>Head</h1><section class=a><p>Lead.</p></section><section class=b><p>{}</p></section></main>" + MENU,
+        "<article><div class=x><h1>Head</h1></div><div class=y><div><div><p>Lead.</p></div></div><div><div><p>{}</p></div></div></div></article>" + MENU,
+        "<div id=page><h1>Head</h1><div class=lead><p>Lead.</p></div><div class=body><p>{}</p></div></div>" + MENU * 3,
+        "<main><h1>Head</h1><article><p>Lead.</p><p>{}</p></article></main>" + MENU,
+        "<div class=post><h1>Head</h1></div><div class=post><p>Lead.</p></div><div class=post><p>{}</p></div>",
+    ],
+)
+def test_parts_in_wrappers_of_their_own(spark, page):
+    want = f"Head\nLead.\n{LONG.strip()}"
+    source = "<body><nav><p>menu</p></nav>" + page.format(LONG) + "<footer>F</footer></body>"
+    assert html_extract.extract(source, None) == want and html_extract.extract(source, "/other") == want
+    df = spark.createDataFrame([(n, "https://a.example/", source) for n in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract_pages(spark, df).collect()} == {want}
+
+
 def test_deep_pages_don_t_recurse():
     assert html_extract.extract("<div>" * 20_000 + "deep" + "</div>" * 20_000, None) == "deep"
 
