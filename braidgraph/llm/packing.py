@@ -7,7 +7,8 @@ sequences of `length` tokens. A partition's unfinished last sequence is cut into
 and so needs no padding.
 
 Defined results: a null or empty text is the single id 0; a null doc_id sorts first and is kept; repeated rows are
-packed once each; an empty table gives no piece. Only the two named columns are read, so others can't clash.
+packed once each; an empty table gives no piece; texts of any length are encoded whole, long runs of one character included. Only the
+two named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ GRAM, GRAM_MIX, GRAM_SHIFT = 4, np.uint32(0x9E3779B1), np.uint32(23)
 #: Texts whose characters all lie here are cut alike by both tokenizer libraries (tests/llm/test_packing.py goes
 #: through every one); any other text goes through `tokenizers` itself.
 UNPROVEN = re.compile("[^\\x00-\\x7f\\xa1-\\xff\\u0152\\u0153\\u2010-\\u201f\\u2026\\u20ac]")
+#: The faster library's matcher keeps a frame for each character of a run of white space: texts with longer runs go through `tokenizers`.
+LONG_RUN = 10_000
+BLANKS = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
 #: The cutting pattern of byte-level vocabularies (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -99,7 +103,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if UNPROVEN.search(text) or self.special and self.special.search(text):
+        if UNPROVEN.search(text) or self.special and self.special.search(text) or len(text) >= LONG_RUN and BLANKS.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

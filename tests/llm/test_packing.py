@@ -78,3 +78,18 @@ def test_hilbert_curve(dims, bits):
 def test_keys_depend_on_text_alone():
     a = packing.curve_keys([b"one text", None, b"", b"other text"])
     assert a.tolist() == [packing.curve_keys([t])[0] for t in (b"one text", None, b"", b"other text")] and a[1] == a[2]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t", "\xa0", "x", "7", "!", "日"])
+def test_long_runs(run):
+    """A million and more characters of one kind, at the front, inside and at the end."""
+    encode = packing.encoder("byte_bpe_50k.json")
+    long_ = run * (1_100_000 // len(run))
+    t = f"a{long_}b"
+    assert encode.ids(t) == PLAIN.encode(t, add_special_tokens=False).ids
+
+
+def test_long_runs_are_packed(spark):
+    rows = [(1, "a" + " " * 1_500_000 + "b"), (2, "\n" * 1_000_000), (3, "short"), (4, " " * 9_999 + "x" + " " * 10_000)]
+    pieces = packing.pack(awkward.documents(spark, rows)).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(ids_of(t)) for i, t in rows}
