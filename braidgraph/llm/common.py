@@ -151,9 +151,6 @@ class Rolling:
             return mix((prefix[k:] - prefix[:m]) * self.down[:m])
 
 
-_bytes = Rolling(0xD6E8FEB86659FD93)
-
-
 def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of rows that lie one after another in data."""
     inside = np.zeros(len(data) + 2, bool)
@@ -164,17 +161,31 @@ def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(inside[1:-1] & first), np.flatnonzero(inside[1:-1] & last) + 1
 
 
+#: Masks of the lowest 0 to 8 bytes of eight.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
 def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the bytes between starts and ends, from prefix sums over pieces of about CHUNK_BYTES."""
+    """64-bit hashes of the bytes between starts and ends: eight bytes at a time, each mixed with its place in the word, so that no
+    pattern of letters cancels out; CHUNK_BYTES or one word at a time."""
     out = np.empty(len(starts), U64)
     low = 0
     while low < len(starts):
         base = int(starts[low])
         high = max(low + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
-        s, e = starts[low:high] - base, ends[low:high] - base
-        prefix = _bytes.prefix(data[base : base + int(e[-1])].astype(U64) + U64(1))
+        s, size = starts[low:high] - base, ends[low:high] - starts[low:high]
+        part = np.concatenate([data[base : int(ends[high - 1])], np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
         with np.errstate(over="ignore"):
-            out[low:high] = mix((prefix[e] - prefix[s]) * _bytes.down[s] + (e - s).astype(U64) * MIX_A)
+            if size.max(initial=0) <= 8:
+                out[low:high] = mix(mix((eight[s] & _LOW_BYTES[size]) ^ MIX_A) + size.astype(U64) * MIX_A)
+            else:
+                pieces = (size + 7) >> 3
+                first = np.cumsum(pieces) - pieces
+                place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+                left = np.minimum(np.repeat(size, pieces) - 8 * place, 8)
+                mixed = mix((eight[np.repeat(s, pieces) + 8 * place] & _LOW_BYTES[left]) ^ (MIX_A * (place + 1).astype(U64)))
+                out[low:high] = mix(np.add.reduceat(mixed, first) + size.astype(U64) * MIX_A)
         low = high
     return out
 

@@ -258,6 +258,14 @@ def test_word_hashes_cut_like_split():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_patterned_words_differ():
+    """Thue-Morse words and their complements, and words that differ in one place or in the order of eights."""
+    a = bytes(97 + i.bit_count() % 2 for i in range(4096))
+    words = [x for n in (8, 16, 64, 1024, 4096) for x in (a[:n], bytes(195 - c for c in a[:n]))]
+    words += [b"abcdefgh12345678", b"12345678abcdefgh", b"x" * 7, b"x" * 8, b"x" * 9, b"x" * 17, b"x\0", b"x"]
+    assert len(set(common.words_of(b" ".join(words)).hashes.tolist())) == len(words)
+
+
 def test_components_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(common, "EDGES_PER_TASK", 7)
     rng = random.Random(1)
