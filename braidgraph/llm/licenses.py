@@ -2,11 +2,14 @@
 
 Texts and templates are sequences of lower-case words. A template can only reach the coverage asked for if that share of its
 words occurs in the text at all, which rules nearly every template out for nearly every text and loses none. For
-the rest, the text's places of template words are cut where a gap is longer than the template, and each stretch is aligned: words unique to
-both sides anchor it, their longest increasing subsequence is kept, and the gaps between anchors are
+the rest, the text's places of template words are cut into stretches where more than `widest_gap` other words stand between two of them (the template's
+length less 10 words, so that a notice of a dozen words must stand unbroken), and windows of a stretch are aligned: words unique to
+both sides anchor them, their longest increasing subsequence is kept, and the gaps between anchors are
 aligned in the same way (common ends first; small gaps without unique words by longest common subsequence).
-A stretch whose alignment covers at least `coverage` percent of the template is a find, at the start that aligns most words; what lies
-before and behind it in the stretch is searched again.
+Only words of the template take room in a window, so words put in between don't push others out; a window has room for 1.2 templates,
+or for 2 where none of these is a find. A window whose alignment covers at least `coverage` percent of the template is a find, at the start that
+aligns most words; what lies before and behind it in the stretch is searched again. A license is thus found with any number of insertions of
+up to `widest_gap` words each, as long as they hold no more words of the template than the template itself.
 
 Defined results: null and empty texts give no find; null doc_ids and repeated rows are scanned row by row; where finds of
 several templates overlap, the one with more aligned words stays (ties: the template's order); an empty table gives
@@ -39,6 +42,10 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "lgpl-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -132,6 +139,11 @@ class Template:
         return sum(n for w, n in self.times.items() if w in present)
 
 
+def widest_gap(size: int) -> int:
+    """Other words that may stand between two neighbouring words of a find."""
+    return max(1, size - 10)
+
+
 def scan(text: str | None, templates: list[Template], coverage: int = COVERAGE) -> list[tuple[str, int, int, int, int]]:
     """(license, start, end, aligned words, template words) of a text's finds, by place; code points."""
     if not text:
@@ -144,22 +156,20 @@ def scan(text: str | None, templates: list[Template], coverage: int = COVERAGE)
         return []
     finds, spans = [], [m.span() for m in _word.finditer(lower)]
     for order, t in enumerate(likely):
-        size = len(t.words)
+        size, gap = len(t.words), widest_gap(len(t.words))
         places = [i for i, w in enumerate(words) if w in t.known]
-        stretches, gap = [], max(2, size * (100 - coverage) // 100)
-        for i in places:
-            if stretches and i - stretches[-1][1] <= gap:
-                stretches[-1][1] = i
-            else:
-                stretches.append([i, i])
+        held = [words[i] for i in places]
+        cuts = [0, *(k for k in range(1, len(places)) if places[k] - places[k - 1] > gap + 1), len(places)]
+        stretches = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
         while stretches:  # a stretch may hold a text several times, or common words before it
             low, high = stretches.pop()
-            if low > high or 100 * t.reach(set(words[low : high + 1])) < coverage * size:
+            if 100 * t.reach(set(held[low:high])) < coverage * size:
                 continue
-            if found := _best(words, low, high, t, coverage):
+            found = _best(held, low, high, t, coverage, size + size * (100 - coverage) // 100 + 2) or _best(held, low, high, t, coverage, 2 * size)
+            if found:
                 first, last, aligned = found
-                finds.append((aligned, order, t.name, first, last, size))
-                stretches += [[low, first - 1], [last + 1, high]]
+                finds.append((aligned, order, t.name, places[first], places[last], size))
+                stretches += [(low, first), (last + 1, high)]
     finds.sort(key=lambda f: (-f[0], f[1], f[3]))
     kept: list[tuple] = []
     for f in finds:
@@ -168,32 +178,34 @@ def scan(text: str | None, templates: list[Template], coverage: int = COVERAGE)
     return sorted((name, spans[first][0], spans[last][1], aligned, size) for aligned, _, name, first, last, size in kept)
 
 
-def _best(words: list[str], low: int, high: int, t: Template, coverage: int) -> tuple[int, int, int] | None:
-    """Best window among those that start before the end of the first one whose alignment covers enough: (first word, last word,
-    aligned words), with most aligned words, then fewest words in all."""
+def _best(held: list[str], low: int, high: int, t: Template, coverage: int, width: int) -> tuple[int, int, int] | None:
+    """Best window of `width` among those that start before the end of the first one whose alignment covers enough: (first place, last
+    place, aligned words), with most aligned words, then fewest places in all. held: the text's words that the template knows."""
     size = len(t.words)
-    width = size + size * (100 - coverage) // 100 + 2
     #: A find must hold one of the first words of the template; which can be missing: so many.
     heads = set(t.words[: size * (100 - coverage) // 100 + 1])
     best: tuple[int, int, int] | None = None
-    end = high
-    for start in range(low, high + 1):
+    inside: Counter[str] = Counter()
+    end, upto, reach = high - 1, low, 0  # reach: words that held[start:upto] and the template have in common, each as often as both
+    for start in range(low, high):
         if start > end or (best and best[2] == size):
             break
-        if words[start] not in heads:
-            continue
-        part = words[start : min(high + 1, start + width)]
-        reach = t.reach(set(part))
-        if 100 * reach < coverage * size or (best and reach < best[2]):
-            continue
-        pairs = patience(part, t.words)
-        if 100 * len(pairs) < coverage * size:
-            continue
-        first, last = start + pairs[0][0], start + pairs[-1][0]
-        if best is None:
-            end = last
-        if best is None or (len(pairs), best[1] - best[0]) > (best[2], last - first):
-            best = first, last, len(pairs)
+        while upto < min(high, start + width):
+            w = held[upto]
+            inside[w] += 1
+            reach += inside[w] <= t.times[w]
+            upto += 1
+        if held[start] in heads and 100 * reach >= coverage * size and not (best and reach < best[2]):
+            pairs = patience(held[start:upto], t.words)
+            if 100 * len(pairs) >= coverage * size:
+                first, last = start + pairs[0][0], start + pairs[-1][0]
+                if best is None:
+                    end = last
+                if best is None or (len(pairs), best[1] - best[0]) > (best[2], last - first):
+                    best = first, last, len(pairs)
+        w = held[start]
+        reach -= inside[w] <= t.times[w]
+        inside[w] -= 1
     return best
 
 

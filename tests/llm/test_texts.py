@@ -147,6 +147,47 @@ def test_common_words_before_a_license(gap):
         assert len(two) == 2 and two[0][3] < two[1][3] == size
 
 
+def plain_finds(words, template, coverage):
+    """Every start and every window: the most words that patience aligns, and where."""
+    size = len(template)
+    known = set(template)
+    places = [i for i, w in enumerate(words) if w in known]
+    best = None
+    for width in (size + size * (100 - coverage) // 100 + 2, 2 * size):
+        for k in range(len(places)):
+            pairs = licenses.patience([words[i] for i in places[k : k + width]], template)
+            if 100 * len(pairs) >= coverage * size:
+                found = (len(pairs), -(places[k + pairs[-1][0]] - places[k + pairs[0][0]]), -places[k + pairs[0][0]])
+                best = max(best or found, found)
+        if best:
+            return best
+    return None
+
+
+@pytest.mark.parametrize("name", ["mit", "isc", "gpl-3.0", "zlib", "mpl-2.0"])
+def test_licenses_with_insertions(name):
+    """Insertions of up to the widest gap, in one or more places, with and without common words, against every window."""
+    rng = random.Random(name)
+    template = licenses.Template(name, licenses.TEMPLATES[name])
+    size = len(template.words)
+    for n in (1, 5, size // 5, size // 3, licenses.widest_gap(size)):
+        for places in (1, 2, 3):
+            for kind in ("zzz", "mixed"):
+                words = list(template.words)
+                for at in sorted(rng.sample(range(1, size), places), reverse=True):
+                    some = min(n, licenses.widest_gap(size))
+                    words[at:at] = ["zzz" if kind == "zzz" or rng.random() < 0.8 else rng.choice(["the", "of", "to", "and"]) for _ in range(some)]
+                text = ["before", "the", *words, "of", "after"]
+                want = plain_finds(text, template.words, 80)
+                got = licenses.scan(" ".join(text), [template])
+                assert want and want[0] >= 0.8 * size
+                if kind == "zzz":
+                    assert want[0] == size and len(got) == 1
+                assert [(f[3], f[0]) for f in got][:1] == [(want[0], name)] and len(got) == 1
+    apart = " zzz" * (licenses.widest_gap(size) + 1) + " "
+    assert licenses.scan(apart.join([" ".join(template.words[: size // 2]), " ".join(template.words[size // 2 :])]), [template]) == []
+
+
 def test_every_template_finds_itself():
     known = [licenses.Template(k, v) for k, v in licenses.TEMPLATES.items()]
     for name, text in licenses.TEMPLATES.items():
