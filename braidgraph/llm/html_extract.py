@@ -8,11 +8,13 @@ each host's path with most votes wins. All pages are then extracted again at the
 lacks it, or has no text there, uses its own path.
 
 Left out at any depth: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments and hidden
-elements, known by tag, role, or class and id words. White space inside a block becomes one space, and blocks are
+elements, known by tag, role, or a word of a class or id name, unless the name says that something is there or not (has-sidebar, no-header). An element that only its name speaks against stays if it holds an article or main element, or most of the
+page's text outside links, unless the name is that of comments or adverts. White space inside a block becomes one space, and blocks are
 joined by a line feed in page order.
 
 Defined results: null or empty html, or none with text, gives an empty text; pages without url share one (empty) host;
-repeated rows are kept; an empty table gives an empty result. Only the three named columns are read.
+repeated rows are kept; an empty table gives an empty result; long, deep or broken pages are read whole in time that grows with their length
+(after BROKEN_QUOTES tags without a closing quote, quotes in tags no longer hide a >). Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ from pyspark.sql import functions as F
 
 from braidgraph.llm.common import map_batches, materialize
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_tag = re.compile(r"/?[A-Za-z][^\s/>]*")
+_quote = re.compile("[\"']")
 _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _digits = re.compile(r"\d+")
-_word = re.compile(r"[a-z]+")
+_word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_invisible = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Tags with an unclosed quote in one page before quotes no longer count; characters from which a named element can be most of a page.
+BROKEN_QUOTES, MOST = 8, 250
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -40,6 +46,9 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar aside footer header masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs comment comments disqus replies widget login search toolbar pagination pager".split())
 #: Of these, only adverts and comments are left out by class.
 MAIN_TAGS, MAIN_OUT = frozenset(("html", "body", "main", "article")), frozenset(("ad", "ads", "advert", "comment", "comments"))
+#: Names that stand even for most of a page's text; words that say that another one is there, or not.
+ALWAYS_OUT = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus replies cookie cookies consent gdpr".split())
+ABOUT = frozenset("no not non has have with without hide hides show shows is toggle".split())
 #: These may be left out in a page, and so don't count in paths.
 ROOTS = frozenset(("html", "body"))
 #: Starting an element ends open ones of these kinds.
@@ -47,11 +56,24 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
+#: How an element stands: part of the page, left out if nothing speaks for it, or left out.
+PART, DOUBTFUL, OUT = 0, 1, 2
+
+
 class Element:
-    __slots__ = ("children", "out", "parent", "path", "tag")
+    __slots__ = ("children", "out", "parent", "step", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, path: str, out: bool):
-        self.tag, self.parent, self.path, self.out, self.children = tag, parent, path, out, []
+    def __init__(self, tag: str, parent: Element | None, step: str, out: int):
+        self.tag, self.parent, self.step, self.out, self.children = tag, parent, step, out, []
+
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node:
+            if node.step:
+                steps.append(node.step)
+            node = node.parent
+        return "".join(f"/{x}" for x in reversed(steps))
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -61,84 +83,185 @@ def _attributes(text: str) -> dict[str, str]:
 def _name(tag: str, attributes: dict[str, str]) -> str:
     """A path's step: tag.class, or tag#id, digits as #."""
     for key, mark in (("class", "."), ("id", "#")):
-        if words := sorted(set(_digits.sub("#", attributes.get(key, "").lower()).split())):
+        if words := sorted(set(_digits.sub("#", attributes.get(key, "").lower()).replace("/", "|").split())):
             return f"{tag}{mark}{'.'.join(words)}"
     return tag
 
 
-def _left_out(tag: str, attributes: dict[str, str]) -> bool:
+def _speaks_against(name: str, words: frozenset[str]) -> set[str]:
+    """Words of a class or id name that leave its element out."""
+    parts = {x.lower() for x in _word.findall(name)} | {name.lower()}
+    return parts & words if not parts & ABOUT else set()
+
+
+def _left_out(tag: str, attributes: dict[str, str]) -> int:
     if tag in OUT_TAGS:
-        return True
+        return OUT
     if not attributes:
-        return False
+        return PART
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in OUT_ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
-    words = set(_word.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(words & (MAIN_OUT if tag in MAIN_TAGS else OUT_WORDS))
+        return OUT
+    if _invisible.search(attributes.get("style", "")):
+        return OUT
+    against: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        against |= _speaks_against(name, MAIN_OUT if tag in MAIN_TAGS else OUT_WORDS)
+    return (OUT if against & ALWAYS_OUT else DOUBTFUL) if against else PART
+
+
+class Tags:
+    """Where the tags of a page start and end, in one pass: (start, end, slash, name, attributes); without a name: to be skipped."""
+
+    def __init__(self, source: str):
+        self.source, self.broken, self.known = source, 0, {}
+
+    def _after(self, what: str, at: int) -> int:
+        """The next place of a short string, or -1; what the last search went over isn't searched again."""
+        since, found = self.known.get(what, (at + 1, 0))
+        if since <= at and (found < 0 or at <= found):
+            return found
+        found = self.source.find(what, at)
+        self.known[what] = at, found
+        return found
+
+    def _end(self, at: int) -> int:
+        """The > that ends a tag: the first outside quotes, or simply the first if a quote is never closed."""
+        first = close = self._after(">", at)
+        if self.broken >= BROKEN_QUOTES:
+            return first
+        while close >= 0:
+            opening = _quote.search(self.source, at, close)
+            if not opening:
+                return close
+            closing = self._after(opening[0], opening.end())
+            if closing < 0:
+                break
+            at = closing + 1
+            close = close if close >= at else self._after(">", at)
+        self.broken += 1
+        return first
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        source = self.source
+        while (start := self._after("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                end = self._after("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(source), False, "", ""
+            end = self._after(">", start)
+            if end < 0:
+                return None
+            if source[start + 1] in "!?":
+                return start, end + 1, False, "", ""
+            if m := _tag.match(source, start + 1):
+                end = self._end(m.end())
+                slash = m[0][0] == "/"
+                return start, end + 1, slash, m[0][slash:].lower(), source[m.end() : end]
+            at = start + 1
+        return None
+
+
+_raw_end = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 
 def parse(source: str) -> Element:
     """A tree of elements; children are elements and texts (already decoded)."""
-    root = node = Element("", None, "", False)
-    at = 0
+    root = Element("", None, "", PART)
+    stack, open_at = [root], {}
+    at, tags, ended = 0, Tags(source), set()
 
     def text(part: str) -> None:
-        if part and not node.out:
-            node.children.append(html.unescape(part))
-
-    def close(until: Element) -> None:
-        nonlocal node
-        node = until.parent or root
-
-    def open_up(tags, scope=()) -> Element | None:
-        found, last = node, None
-        while found.parent and found.tag not in scope:
-            if found.tag in tags:
-                last = found
-                break
-            found = found.parent
-        return last
+        if part and stack[-1].out != OUT:
+            stack[-1].children.append(html.unescape(part))
+
+    def last(names) -> int:
+        return max((open_at[t][-1] for t in names if open_at.get(t)), default=0)
+
+    def close(names, scope=()) -> bool:
+        """Close the innermost open element of these tags, unless one of the scope is open inside it."""
+        found = last(names)
+        if found <= last(scope):
+            return False
+        for gone in stack[found:]:
+            open_at[gone.tag].pop()
+        del stack[found:]
+        return True
 
-    while m := _token.search(source, at):
-        text(source[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    while token := tags.next(at):
+        start, end, slash, tag, inner = token
+        text(source[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if slash:
             if tag == "br":
                 text(" ")
-            elif found := open_up((tag,)):
-                close(found)
+            else:
+                close((tag,))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            stop = None if tag in ended else _raw_end[tag].search(source, at)
+            if stop is None:
+                ended.add(tag)
+            at = stop.end() if stop else len(source)
             continue
         if tag == "br":
             text(" ")
             continue
         if tag in VOID:
-            if tag in BLOCKS and not node.out:
-                node.children.append(Element(tag, node, node.path, False))
+            if tag in BLOCKS and stack[-1].out != OUT:
+                stack[-1].children.append(Element(tag, stack[-1], "", PART))
             continue
-        if tag in ENDS and (found := open_up(ENDS[tag], SCOPES[tag])):
-            close(found)
-        elif (tag in BLOCKS or tag in OUT_TAGS) and (found := open_up(("p",), ("td", "th", "button", "object"))):
-            close(found)
-        attributes = _attributes(m[3])
-        child = Element(tag, node, node.path if tag in ROOTS else f"{node.path}/{_name(tag, attributes)}", node.out or _left_out(tag, attributes))
-        if not child.out:
+        if not (tag in ENDS and close(ENDS[tag], SCOPES[tag])) and (tag in BLOCKS or tag in OUT_TAGS):
+            close(("p",), ("td", "th", "button", "object"))
+        attributes, node = _attributes(inner), stack[-1]
+        child = Element(tag, node, "" if tag in ROOTS else _name(tag, attributes), OUT if node.out == OUT else _left_out(tag, attributes))
+        if child.out != OUT:
             node.children.append(child)
-        if not m[3].endswith("/") or tag not in ("path", "use", "circle", "rect"):
-            node = child
+        if not inner.endswith("/") or tag not in ("path", "use", "circle", "rect"):
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append(child)
     text(source[at:])
+    _settle(root)
     return root
 
 
+def _settle(root: Element) -> None:
+    """Takes doubtful elements out, or makes them part of the page."""
+    order, doubtful = _down(root), False
+    for node, _ in order:
+        doubtful = doubtful or node.out == DOUBTFUL
+    if not doubtful:
+        return
+    plain: dict[int, int] = {}
+    holds: set[int] = set()
+    for node, link in reversed(order):
+        below = [x for x in node.children if not isinstance(x, str)]
+        plain[id(node)] = sum(plain[id(x)] for x in below) + (0 if link else sum(len(x.strip()) for x in node.children if isinstance(x, str)))
+        if node.tag in ("article", "main") or any(id(x) in holds for x in below):
+            holds.add(id(node))
+    for node, _ in order:
+        if any(not isinstance(x, str) and x.out == DOUBTFUL for x in node.children):
+            kept = []
+            for x in node.children:
+                if not isinstance(x, str) and x.out == DOUBTFUL:
+                    if not (id(x) in holds or plain[id(x)] >= MOST and 2 * plain[id(x)] > plain[id(root)]):
+                        continue
+                    x.out = PART
+                kept.append(x)
+            node.children = kept
+
+
+def _down(root: Element) -> list[tuple[Element, bool]]:
+    """All elements, parents first, and whether they are inside a link."""
+    order, work = [], [(root, False)]
+    while work:
+        node, link = work.pop()
+        link = link or node.tag == "a"
+        order.append((node, link))
+        work += [(x, link) for x in node.children if not isinstance(x, str)]
+    return order
+
+
 def blocks(node: Element) -> list[str]:
     """The texts of a subtree's blocks, in page order."""
     done, parts = [], []
@@ -199,15 +322,8 @@ def best_container(root: Element) -> tuple[Element, float]:
 
 def amounts(root: Element) -> dict[int, tuple[int, int]]:
     """Characters of text, and those outside links, in each element's subtree."""
-    order: list[tuple[Element, bool]] = []
-    work = [(root, False)]
-    while work:
-        node, link = work.pop()
-        link = link or node.tag == "a"
-        order.append((node, link))
-        work += [(x, link) for x in node.children if not isinstance(x, str)]
     total: dict[int, tuple[int, int]] = {}
-    for node, link in reversed(order):
+    for node, link in reversed(_down(root)):
         own = sum(len(x.strip()) for x in node.children if isinstance(x, str))
         below = [total[id(x)] for x in node.children if not isinstance(x, str)]
         total[id(node)] = own + sum(x[0] for x in below), (0 if link else own) + sum(x[1] for x in below)
@@ -238,25 +354,39 @@ def main_container(root: Element) -> tuple[Element, float]:
     return chosen, score
 
 
-def raised(node: Element) -> Element:
-    """The outermost article around an element, or else main element, or itself."""
-    found = node
-    while node:
-        if node.tag == "article" or (node.tag == "main" and found.tag != "article"):
-            found = node
-        node = node.parent
-    return found
+def raised(nodes: list[Element]) -> list[Element]:
+    """The outermost article around each element, or else main element, or itself; each once."""
+    known: dict[int, Element | None] = {}
+    out: dict[int, Element] = {}
+    for node in nodes:
+        way, x = [], node
+        while x and id(x) not in known:
+            way.append(x)
+            x = x.parent
+        found = known[id(x)] if x else None
+        for x in reversed(way):  # from the outside in: the first article stays, a main element only without one around or inside
+            if x.tag == "article" and (found is None or found.tag == "main") or x.tag == "main" and found is None:
+                found = x
+            known[id(x)] = found
+        whole = known[id(node)] or node
+        out[id(whole)] = whole
+    return list(out.values())
 
 
 def at_path(root: Element, path: str) -> list[Element]:
     """Outermost elements of a path, in page order."""
-    found, work = [], [root]
+    steps = path.split("/")[1:]
+    found, work = [], [(root, 0)]
     while work:
-        node = work.pop()
-        if node.path == path and node.tag:
+        node, at = work.pop()
+        if node.step:
+            if at == len(steps) or node.step != steps[at]:
+                continue
+            at += 1
+        if at == len(steps) and node.step:
             found.append(node)
-        elif path.startswith(node.path):
-            work += reversed([x for x in node.children if not isinstance(x, str)])
+        else:
+            work += [(x, at) for x in reversed(node.children) if not isinstance(x, str)]
     return found
 
 
@@ -268,14 +398,13 @@ def extract(source: str | None, path: str | None) -> str:
     found = texts_at(root, path) if path else []
     if not found:
         node, _ = main_container(root)
-        found = texts_at(root, node.path) if node.path else blocks(node)
+        found = texts_at(root, path) if (path := node.path) else blocks(node)
     return "\n".join(found)
 
 
 def texts_at(root: Element, path: str) -> list[str]:
     """Blocks of the elements of a path, or of the articles around them, each once."""
-    nodes = {id(x): x for x in map(raised, at_path(root, path))}
-    return [b for x in nodes.values() for b in blocks(x)]
+    return [b for x in raised(at_path(root, path)) for b in blocks(x)]
 
 
 def host_of(url: str | None) -> str:

@@ -293,6 +293,85 @@ def test_parts_in_wrappers_of_their_own(spark, page):
     assert {r.text for r in html_extract.extract_pages(spark, df).collect()} == {want}
 
 
+BODY = "A long sentence of the article that goes on for a while, and then some more. " * 6
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "page-with-header", "pageWithHeader", "layout-sidebar-left", "withoutMenu main", "search-page", "header-and-all"])
+def test_names_that_only_mention(name):
+    for key in ("class", "id"):
+        page = f"<div {key}='{name}'><div class=sidebar><a href=x>link of a sidebar</a></div><p>{BODY}</p><p>{BODY}</p><div class=comments><p>{BODY * 9}</p></div></div>"
+        assert html_extract.extract(f"<body>{page}</body>", None) == f"{BODY.strip()}\n{BODY.strip()}"
+    around = f"<div class=site-header><div class=top-menu>menu words</div><article><p>short</p></article></div>"
+    assert html_extract.extract(around, None) == "short"
+    for out in ("sidebar", "siteHeader", "main-nav-box", "cookie-notice", "ad", "post_comments_list"):
+        assert html_extract.extract(f"<div><div class='{out}'>gone</div><p>{BODY}</p></div>", None) == BODY.strip()
+
+
+def plain_text(page):
+    """What html.parser sees inside the outermost article elements of a page without anything to leave out."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, done, part = 0, None, ""
+
+        def cut(self):
+            if joined := " ".join(self.part.split()):
+                self.done.append(joined)
+            self.part = ""
+
+        def handle_starttag(self, tag, attributes):
+            if tag == "article":
+                self.inside += 1
+            if self.inside and tag in html_extract.BLOCKS:
+                self.cut()
+            if self.inside and tag == "br":
+                self.part += " "
+
+        def handle_endtag(self, tag):
+            if self.inside and tag in html_extract.BLOCKS:
+                self.cut()
+            if tag == "article":
+                self.inside -= 1
+
+        def handle_data(self, data):
+            if self.inside:
+                self.part += data
+
+    reader = Reader()
+    reader.done = []
+    reader.feed(page)
+    return "\n".join(reader.done)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_extraction_against_a_plain_parser(spark, seed):
+    """Hosts with several layouts, articles cut into sections, nested lists, tables and links, quoted > and character references."""
+    rng = random.Random(seed)
+    words = ["word", "a &amp; b", "caf&eacute;", "&#x41;bc", "<b>bold</b>", "<a href='x?a>b'>link</a>", "one<br>two", "<!-- <p>no</p> -->", "x &lt; y", "<i title=\"a>b\">i</i>"]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(6, 25)))
+    kinds = [lambda: f"<p>{line()}</p>", lambda: f"<h2>{line()}</h2>", lambda: f"<ul><li>{line()}</li><li>{line()}</li></ul>", lambda: f"<blockquote><p>{line()}</p></blockquote>", lambda: f"<div><div>{line()}</div></div>", lambda: f"<section><p>{line()}</p><p>{line()}</p></section>"]
+    rows, want = [], {}
+    for n in range(40):
+        article = "".join(rng.choice(kinds)() for _ in range(rng.randrange(2, 9)))
+        wrap = rng.choice(["<article>{}</article>", "<article class='post-{n}'>{}</article>", "<main><article><div class=body>{}</div></article></main>", "<article><section>{}</section></article>"])
+        article = wrap.replace("{}", article).replace("{n}", str(n))
+        page = f"<!doctype html><html><body class='has-sidebar'><header>site</header><nav><ul><li><a href=/>home</a></ul></nav><div class='wrap page-{n}'>{article}</div><aside>aside</aside><footer>foot</footer></body></html>"
+        rows.append((n, f"https://host{n % 3}.example/{n}", page))
+        want[n] = plain_text(article)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html_extract.extract_pages(spark, df).collect()} == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<a \"" * 100_000, "< " * 300_000 + ">", "<a ' > '" * 60_000, "</i>" * 200_000, "<div>" * 100_000 + "deep" + "</div>" * 100_000, "<ul>" + "<span>" * 30_000 + "<li>" * 30_000, "<p>" + "<b>" * 50_000 + "<div>" * 50_000, "<script>" * 50_000, "<!--" * 100_000, "&amp" * 100_000, "<div " + "a=\"b\" " * 50_000 + ">x", "<div class='" + "a " * 100_000 + "'>x"])
+def test_hostile_pages(page):
+    import time
+
+    began = time.thread_time()
+    html_extract.extract(f"<div><p>{BODY}</p>{page}", "/div/p")
+    html_extract.main_container(html_extract.parse(page))
+    assert time.thread_time() - began < 12
+
+
 def test_deep_pages_don_t_recurse():
     assert html_extract.extract("<div>" * 20_000 + "deep" + "</div>" * 20_000, None) == "deep"
 
