@@ -2,8 +2,9 @@
 
 A text's blended spectrum is the set of hashed 1- to ORDERS-grams of its letters (lower case; all else is one
 space), as a 0/1 vector over DIMENSIONS; the kernel of two texts is the number of shared grams over the geometric
-mean of their counts. Nyström landmarks map a text to its kernel values with them, scaled to length one; one
-ridge regression for each language (one against the rest) reads these. Batches are scored by two matrix products.
+mean of their counts. The Nyström map of a text is its kernel values with the landmarks times the inverse root of the landmarks' own kernel
+matrix, so that products of maps stand for kernels; kernel ridge regression for each language (one against the rest) is ridge regression on these
+maps. Batches are scored by two matrix products: with the landmarks, and with the map and all regressions in one.
 
 The model is fitted on the driver from at most `per_language` labelled rows of each language (and SAMPLE_ROWS in
 all), taken by a hash of doc_id from the rows that training may use: lang known and crc32(doc_id) mod 5 not 0.
@@ -12,7 +13,8 @@ Every row is predicted, from its text alone.
 A set of grams fills as a text grows, so a text of more than WINDOW letters and spaces is cut into windows of equal length that cover
 all of it; its margins are the means of its windows'. A training row gives one window, chosen by its hash.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; a null doc_id is predicted but never held
+Defined results: a null text, or one without a letter, is `und` with score 0; ties go to the language whose name comes first; of repeated rows of a
+doc_id and language one is learned from; texts of any length are read whole; a null doc_id is predicted but never held
 out or learned from; without any labelled row everything is `und`. Only the named columns are read.
 """
 
@@ -86,18 +88,22 @@ def window(c: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """landmarks: DIMENSIONS x m, columns scaled by their own count; weights: m x languages."""
+    """landmarks: DIMENSIONS x m, columns scaled by their own count; weights: m x languages, the inverse root times the regressions."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
 
-    def features(self, vectors: np.ndarray) -> np.ndarray:
-        kernel = vectors.astype(np.float32) @ self.landmarks
-        return kernel / np.maximum(np.linalg.norm(kernel, axis=1, keepdims=True), 1e-9)
+    def kernel(self, vectors: np.ndarray) -> np.ndarray:
+        """Of texts with the landmarks."""
+        shared = vectors.astype(np.float32) @ self.landmarks
+        return shared / np.sqrt(np.maximum(vectors.sum(axis=1, keepdims=True, dtype=np.float32), 1))
+
+    def margins(self, vectors: np.ndarray) -> np.ndarray:
+        return self.kernel(vectors) @ self.weights
 
     def predict(self, vectors: np.ndarray) -> tuple[list[str], np.ndarray]:
-        return self.choose(self.features(vectors) @ self.weights)
+        return self.choose(self.margins(vectors))
 
     def choose(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
         best = margins.argmax(axis=1)
@@ -105,7 +111,8 @@ class Model:
 
 
 def train(vectors: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Ridge regression on normalised kernel values with landmarks taken evenly from every language."""
+    """Kernel ridge regression in the span of landmarks that are taken evenly from every language; languages count alike, however many
+    rows they have; `ridge` times the number of rows is the penalty on the squared norm of a regression."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     turn = np.empty(len(y), np.int64)
@@ -114,12 +121,14 @@ def train(vectors: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ri
     chosen = np.lexsort((y, turn))[:landmarks]
     z = vectors[chosen].astype(np.float32)
     model = Model(languages, np.ascontiguousarray((z / np.sqrt(np.maximum(z.sum(axis=1, keepdims=True), 1))).T), np.zeros((len(z), len(languages)), np.float32))
-    f = model.features(vectors).astype(np.float64)
-    share = np.bincount(y, minlength=len(languages)) / len(y)
-    weight = (1 / share[y] / len(languages))[:, None]  # languages count alike, however many rows they have
+    values, axes = np.linalg.eigh(model.kernel(z).astype(np.float64))
+    seen = values > 1e-6 * values.max()  # equal landmarks add nothing
+    root = axes[:, seen] / np.sqrt(values[seen])
+    mapped = model.kernel(vectors).astype(np.float64) @ root
+    weight = (len(y) / np.bincount(y, minlength=len(languages))[y] / len(languages))[:, None]
     targets = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    gram = f.T @ (f * weight) + ridge * len(y) * np.eye(f.shape[1]) / f.shape[1]
-    model.weights = np.linalg.solve(gram, f.T @ (targets * weight)).astype(np.float32)
+    gram = mapped.T @ (mapped * weight) + ridge * len(y) * np.eye(mapped.shape[1])
+    model.weights = (root @ np.linalg.solve(gram, mapped.T @ (targets * weight))).astype(np.float32)
     return model
 
 
@@ -147,8 +156,9 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE)
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
 
-    # about 2 * `each` rows a language, 1 kB each
-    rows = sorted(usable.where(F.col("rank") < limits[F.col("lang")]).mapInArrow(tidied(vectors), "lang string, rank long, bits binary").collect(), key=lambda r: (r.lang, r.rank, bytes(r.bits)))
+    # about 2 * `each` doc_ids a language, one row and 1 kB each
+    sample = usable.where(F.col("rank") < limits[F.col("lang")]).mapInArrow(tidied(vectors), "lang string, rank long, bits binary").groupBy("lang", "rank").agg(F.min("bits").alias("bits"))
+    rows = sorted(sample.collect(), key=lambda r: (r.lang, r.rank))
     taken: dict[str, int] = {}
     rows = [r for r in rows if taken.update({r.lang: taken.get(r.lang, 0) + 1}) or taken[r.lang] <= each]
     if not rows:
@@ -166,7 +176,7 @@ def _predict_some(texts: list[str | None], model: Model | None) -> tuple[list[st
 
     def add():
         if vectors:
-            np.add.at(margins, owners, model.features(np.array(vectors)) @ model.weights)
+            np.add.at(margins, owners, model.margins(np.array(vectors)))
             vectors.clear()
             owners.clear()
 

@@ -238,6 +238,47 @@ def test_language_of_long_texts():
         assert lang == ["und", k, k, k, k, "und"] and min(score[1:5]) > 0.9 * score[1] > 0.6
 
 
+def test_against_exact_kernel_ridge():
+    """With every row a landmark, the regressions are those of kernel ridge regression solved with the whole kernel matrix."""
+    rows, _ = made_up(60)
+    grams = [{t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)} for t in (f" {t} " for t, _ in rows)]
+    order = sorted(set().union(*grams))
+    vectors = np.array([[g in x for g in order] for x in grams], np.uint8)
+    labels = [k for _, k in rows]
+    for ridge in (1e-4, 1e-2):
+        model = language_id.train(vectors[:40], labels[:40], landmarks=40, ridge=ridge)
+        kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams[:40]] for a in grams])
+        targets = np.array([[1.0 if k == x else -1.0 for x in model.languages] for k in labels[:40]])
+        weight = np.array([40 / labels[:40].count(k) / len(model.languages) for k in labels[:40]])
+        exact = kernel @ np.linalg.solve(kernel[:40] + np.diag(ridge * 40 / weight), targets)
+        assert np.abs(model.margins(vectors) - exact).max() < 0.01
+        few = language_id.train(vectors[:40], labels[:40], landmarks=20, ridge=ridge)
+        assert (few.margins(vectors).argmax(axis=1) == exact.argmax(axis=1)).mean() > 0.9
+
+
+def made_up(n):
+    """Texts of three invented languages of 20,000 words each, as (text, language), and the words of each."""
+    rng = random.Random(12)
+    kinds = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 9))) for _ in range(20_000)] for k, a in (("x", "abcdefghijklmn"), ("y", "ghijklmnopqrst"), ("z", "mnopqrstuvwxyz"))}
+    names = list(kinds)
+    return [(" ".join(rng.choice(kinds[names[i % 3]]) for _ in range(rng.randrange(20, 80))), names[i % 3]) for i in range(n)], kinds
+
+
+@pytest.mark.parametrize("size", [10, 1_000, 30_000, 150_000])
+def test_language_at_any_length(size):
+    """30 percent of the words are of no language that the model knows."""
+    rng = random.Random(size)
+    some, kinds = made_up(300)
+    model = language_id.train(np.array([language_id.spectrum(t) for t, _ in some]), [k for _, k in some])
+    texts, want = [], []
+    for k, words in kinds.items():
+        for _ in range(max(1, min(20, 20_000 // size))):
+            texts.append(" ".join(rng.choice(words) if rng.random() < 0.7 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(size)))
+            want.append(k)
+    lang, score = language_id._predict_some(texts, model)
+    assert np.mean([a == b for a, b in zip(lang, want, strict=True)]) >= 0.98 and (size < 1_000 or min(score) > 0.4)
+
+
 def test_spectrum_against_kernel():
     a, b = "Schöne Zeit!", "schön  zeitig"
     grams = lambda t: {(" " + re.sub(r"[^a-zäöüß]+", " ", t.lower()))[i : i + n] for n in range(1, 5) for i in range(len(re.sub(r"[^a-zäöüß]+", " ", t.lower())) + 2 - n)}
