@@ -6,13 +6,17 @@ e at most. With e = floor(m * errors / 100), diagonals fall in bands of width e
 (overlapping), so that one pair of bands holds all of them; pairs of bands with enough shared q-grams are regions.
 Each region is verified by banded alignment of the whole item (semi-global: free ends in the text).
 
-The benchmark is the stated query set: its q-grams are indexed in blocks of at most BLOCK_ITEMS items, each block
-sent to the executors and met by every document. Documents meet nothing else, so nothing is shuffled by q-gram and
-frequent q-grams or sources make no hot task.
+An item too short for that (no q-gram is sure to be shared) has its own q: of edits + 1 pieces of q characters one is unchanged, and
+pieces are looked up like q-grams.
+
+The benchmark is the stated query set: its q-grams are indexed in blocks of at most BLOCK_CHARS characters and BLOCK_ITEMS items (one
+item, if it is longer), each block sent to the executors and met by every document. Documents meet nothing else, so nothing is
+shuffled by q-gram and frequent q-grams or sources make no hot task.
 
 Defined results: null and empty texts, items without a letter or digit and null items match nothing; rows with one
-doc_id or a null doc_id are judged row by row; items too short to share a q-gram are found by the unchanged one of edits + 1
-pieces, or as whole words if they have no edit to spare; an empty benchmark or table gives no hit. Only the named columns are read.
+doc_id or a null doc_id are judged row by row; an item of less than q characters is found as whole words; of several places of an item
+that with the fewest edits counts (ties: the first region); texts and items of any length are read whole; an empty benchmark or table gives no
+hit. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ from pyspark.sql import functions as F
 
 from braidgraph.llm.common import MIX_A, U64, arrow_schema, mix, tidied
 
-Q, ERRORS, BLOCK_ITEMS = 9, 8, 4096
+Q, ERRORS, BLOCK_ITEMS, BLOCK_CHARS = 9, 8, 1 << 16, 1 << 21
 HITS = "doc_id long, item_id long, start long, length long, edits long"
-SLOTS_BITS = 22
+#: Of the table of hashes in use: at least so many, and eight slots a q-gram up to a limit.
+SLOTS_BITS, MOST_SLOTS_BITS = 22, 24
 _SPACE = 32
 
 
@@ -68,7 +73,7 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """q-grams of a block of items, sorted by hash, and a bit for each slot in use."""
+    """q-grams of a block of items, sorted by hash, and a flag for each slot in use; pieces of short items by their q."""
 
     ids: list[int]
     texts: list[np.ndarray]
@@ -79,7 +84,25 @@ class Index:
     place: np.ndarray
     slots: np.ndarray
     q: int
-    short: list[int]
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _sorted(hashes: list[np.ndarray], owner: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By hash."""
+    h = np.concatenate([*hashes, np.empty(0, U64)])
+    order = np.argsort(h, kind="stable")
+    o, p = (np.concatenate([*x, np.empty(0, np.int32)])[order].astype(np.int32) for x in (owner, place))
+    return h[order], o, p
+
+
+def _lookup(h: np.ndarray, at: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where hashes (at places `at`) stand in a sorted table: (owner, place in the text, place in the item) of each meeting."""
+    hashes, owner, place = table
+    first = np.searchsorted(hashes, h, "left")
+    many = np.searchsorted(hashes, h, "right") - first
+    at, first, many = at[many > 0], first[many > 0], many[many > 0]
+    entry = np.repeat(first - np.cumsum(np.r_[0, many[:-1]]), many) + np.arange(many.sum()) if len(at) else np.empty(0, np.int64)
+    return owner[entry], np.repeat(at, many), place[entry].astype(np.int64)
 
 
 def build(items: list[tuple[int, str | None]], q: int = Q, errors: int = ERRORS) -> Index:
@@ -88,16 +111,20 @@ def build(items: list[tuple[int, str | None]], q: int = Q, errors: int = ERRORS)
     texts = [f for _, f in folded]
     edits = np.array([len(f) * errors // 100 for f in texts], np.int64)
     needed = np.array([len(f) - q + 1 - q * e for f, e in zip(texts, edits, strict=True)], np.int64)
-    parts = [grams(f, q) for f in texts]
-    long_ = [n for n in range(len(texts)) if needed[n] >= 1]
-    empty = np.empty(0, np.int64)
-    hashes = np.concatenate([parts[n] for n in long_] or [np.empty(0, U64)])
-    owner = np.concatenate([np.full(len(parts[n]), n) for n in long_] or [empty])
-    place = np.concatenate([np.arange(len(parts[n])) for n in long_] or [empty])
-    order = np.argsort(hashes, kind="stable")
-    slots = np.zeros(1 << SLOTS_BITS, bool)
-    slots[(hashes >> U64(64 - SLOTS_BITS)).astype(np.int64)] = True
-    return Index([i for i, _ in folded], texts, edits, needed, hashes[order], owner[order], place[order], slots, q, [n for n in range(len(texts)) if needed[n] < 1])
+    long_ = np.flatnonzero(needed >= 1)
+    parts = [grams(texts[n], q) for n in long_]
+    hashes, owner, place = _sorted(parts, [np.full(len(x), n, np.int32) for n, x in zip(long_, parts, strict=True)], [np.arange(len(x), dtype=np.int32) for x in parts])
+    bits = min(MOST_SLOTS_BITS, max(SLOTS_BITS, (8 * len(hashes)).bit_length()))
+    slots = np.zeros(1 << bits, bool)
+    slots[(hashes >> U64(64 - bits)).astype(np.int64)] = True
+    pieces: dict[int, list[tuple]] = {}
+    for n in np.flatnonzero(needed < 1):
+        e, m = int(edits[n]), len(texts[n])
+        of = m // (e + 1)
+        for k in range(e + 1):
+            pieces.setdefault(of, []).append((grams(texts[n][k * of : k * of + of], of), np.array([n]), np.array([k * of])))
+    short = {of: _sorted(*zip(*x, strict=True)) for of, x in sorted(pieces.items())}
+    return Index([i for i, _ in folded], texts, edits, needed, hashes, owner, place, slots, q, short)
 
 
 def align(item: np.ndarray, region: np.ndarray, limit: int) -> tuple[int, int] | None:
@@ -137,29 +164,16 @@ def last_place(item: np.ndarray, region: np.ndarray) -> int | None:
     return at // 4 if at >= 0 and at % 4 == 0 else None
 
 
-def pieces(item: np.ndarray, limit: int, whole: bytes) -> list[list[int]]:
-    """Regions of a text (4 bytes a code point) that may hold an item within `limit` edits: of limit + 1 pieces of the item,
-    one stands there unchanged."""
-    m = len(item)
-    if limit >= m:
-        return [[0, len(whole) // 4]]
-    cut = [m * k // (limit + 1) for k in range(limit + 2)]
-    near = set()
-    for a, b in zip(cut, cut[1:], strict=False):
-        part = item[a:b].astype("<u4").tobytes()
-        at = whole.find(part)
-        while at >= 0:
-            if at % 4 == 0:
-                near.add(at // 4 - a)
-            at = whole.find(part, at + 1)
-    regions: list[list[int]] = []
-    for x in sorted(near):
+def regions(starts: np.ndarray, m: int, limit: int) -> list[list[int]]:
+    """Regions that may hold an item of m characters within `limit` edits, from where pieces put its start; overlapping ones are one."""
+    out: list[list[int]] = []
+    for x in np.unique(starts).tolist():
         low, high = x - limit, x + m + limit
-        if regions and low <= regions[-1][1]:
-            regions[-1][1] = high
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
         else:
-            regions.append([low, high])
-    return regions
+            out.append([low, high])
+    return out
 
 
 def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
@@ -181,13 +195,10 @@ def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
             found[n] = (low + got[1] - length, length, got[0])
 
     h = grams(codes, index.q)
-    at = np.flatnonzero(index.slots[(h >> U64(64 - SLOTS_BITS)).astype(np.int64)])
+    at = np.flatnonzero(index.slots[(h >> U64(64 - (len(index.slots).bit_length() - 1))).astype(np.int64)])
     if len(at):
-        first = np.searchsorted(index.hashes, h[at], "left")
-        many = np.searchsorted(index.hashes, h[at], "right") - first
-        at, first, many = at[many > 0], first[many > 0], many[many > 0]
-        entry = np.repeat(first - np.cumsum(np.r_[0, many[:-1]]), many) + np.arange(many.sum())
-        item, diagonal = index.owner[entry], np.repeat(at, many) - index.place[entry]
+        item, where, place = _lookup(h[at], at, (index.hashes, index.owner, index.place))
+        diagonal = where - place
         enough = np.bincount(item, minlength=len(index.texts)) >= np.maximum(index.needed, 1)
         for n in np.flatnonzero(enough):
             d, width, m = diagonal[item == n], int(index.edits[n]) + 1, len(index.texts[n])
@@ -197,32 +208,31 @@ def hits(codes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
                 if single.get(b, 0) + single.get(b + 1, 0) >= index.needed[n]:
                     low = b * width - m
                     judge(int(n), low - width, low + 2 * width + m + width)
-    whole = codes.astype("<u4").tobytes() if index.short else b""
-    for n in index.short:
-        item = index.texts[n]
-        size = len(item)
-        if index.edits[n]:
-            for low, high in pieces(item, int(index.edits[n]), whole):
-                judge(n, low, high)
-        elif len(codes) >= size:
-            same = np.ones(len(codes) - size + 1, bool)
-            for k in range(size):
-                same &= codes[k : len(codes) - size + 1 + k] == item[k]
-            for s in np.flatnonzero(same):
-                if (s == 0 or codes[s - 1] == _SPACE) and (s + size == len(codes) or codes[s + size] == _SPACE):
-                    found[n] = (int(s), size, 0)
-                    break
+    for q, table in index.short.items():
+        h = grams(codes, q)
+        item, where, place = _lookup(h, np.arange(len(h)), table)
+        for n in np.unique(item):
+            starts, size, limit = (where - place)[item == n], len(index.texts[n]), int(index.edits[n])
+            if limit:
+                for low, high in regions(starts, size, limit):
+                    judge(int(n), low, high)
+                continue
+            ends = starts + size
+            whole = ((starts == 0) | (codes[starts - 1] == _SPACE)) & ((ends == len(codes)) | (codes[np.minimum(ends, len(codes) - 1)] == _SPACE))
+            if len(s := starts[whole]):
+                found[int(n)] = (int(s[0]), size, 0)
     return [(n, *x) for n, x in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items that have a text, BLOCK_ITEMS at a time."""
-    block = []
+    """The items that have a text, up to BLOCK_ITEMS of them and BLOCK_CHARS characters at a time."""
+    block, chars = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        block.append((row.item_id, row.text))
-        if len(block) == BLOCK_ITEMS:
+        if block and (len(block) >= BLOCK_ITEMS or chars + len(row.text) > BLOCK_CHARS):
             yield block
-            block = []
+            block, chars = [], 0
+        block.append((row.item_id, row.text))
+        chars += len(row.text)
     if block:
         yield block
 

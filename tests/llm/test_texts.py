@@ -500,6 +500,31 @@ def test_short_items_keep_their_edits(size):
         assert [e for _, _, _, e in decontaminate.hits(decontaminate.fold(text), index)] == ([best[0]] if best else [])
 
 
+def test_many_short_items_against_plain_alignment():
+    """All lengths up to the q-gram bound at once: what plain alignment finds, the pieces find."""
+    rng = random.Random(21)
+    items = [(size, "".join(rng.choice("abcdefgh") for _ in range(size))) for size in range(1, 40)]
+    index = decontaminate.build(items)
+    for _ in range(150):
+        size, item = rng.choice(items)
+        text = "x" * rng.randrange(9) + " " + edited(rng, item, rng.randrange(size * 8 // 100 + 1)) + " " + "yz" * rng.randrange(9)
+        folded = decontaminate.fold(text)
+        found = {index.ids[n]: e for n, _, _, e in decontaminate.hits(folded, index)}
+        for i, p in items:
+            limit = i * 8 // 100
+            if i <= 8:
+                assert (i in found) == (f" {p} " in f" {text} ")
+            else:
+                best = plain_align(codes(p).tolist(), folded.tolist(), limit)
+                assert found.get(i) == (best[0] if best else None)
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 50)
+    bench = spark.createDataFrame([(i, "x" * n) for i, n in enumerate((10, 30, 20, 70, 5, 5, 45))], "item_id long, text string")
+    assert [[len(t) for _, t in block] for block in decontaminate._blocks(bench)] == [[10, 30], [20], [70], [5, 5], [45]]
+
+
 def test_rows_without_id_are_decontaminated(spark, monkeypatch):
     bench = spark.createDataFrame([(1, awkward.prose(random.Random(3), 40)), (2, awkward.prose(random.Random(4), 30))], "item_id long, text string")
     held = [r.text for r in bench.collect()]
