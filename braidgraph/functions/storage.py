@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; an own one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; an own one only where that is unset and the driver is the only executor, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="braidgraph-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -25,6 +28,26 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prefix_sums(spark: SparkSession, df: DataFrame, within: list[str], order: list[str], value: str, column: str, tag: str) -> DataFrame:
+    """df with column = the sum of `value` over the rows before and up to each one, by `within` (may be empty) in the order of
+    `order` (total there). Rows are range-partitioned, written once, summed inside each partition; what earlier partitions hold is added."""
+    by = [*within, *order]
+    ranged = materialize(spark, df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), tag)
+    inside = F.sum(value).over(Window.partitionBy("__part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = ranged.groupBy("__part", *within).agg(F.sum(value).alias("__sum"))
+    if not within:
+        before, at = [], 0
+        for r in sorted(totals.collect()):  # one row a partition
+            before.append((r[0], at))
+            at += r[1]
+        base = spark.createDataFrame(before, "__part int, __base long")
+    else:
+        earlier = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        base = totals.withColumn("__base", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")  # a row for each partition and group in it
+    summed = ranged.withColumn(column, inside).join(base, ["__part", *within])
+    return summed.withColumn(column, (F.col(column) + F.col("__base")).cast("long")).drop("__part", "__base")
+
+
 def number_rows(spark: SparkSession, df: DataFrame, order: list[Column], column: str, tag: str) -> DataFrame:
     """df with column = 1, 2, ... in the given total order, without sorting everything in one task: rows are
     range-partitioned and sorted, written once, and each partition's offset is the number of rows before it."""
