@@ -15,7 +15,7 @@ import threading
 from pyspark.sql import SparkSession
 
 from braidgraph.functions.pattern import Pattern
-from braidgraph.operators.graph import GraphTables, all_vertices, with_labels
+from braidgraph.operators.graph import GraphTables, with_labels
 from braidgraph.operators.stream import attach_updates, counters
 from braidgraph.plans.compiler import MODES, explain
 from braidgraph.plans.match import continuous_match
@@ -31,12 +31,10 @@ def load_pattern(spark: SparkSession, path: str) -> Pattern:
 
 
 def run(spark: SparkSession, graph: str, pattern: Pattern, updates: str, mode: str = "plain", limit: int | None = None):
-    """(results, counters) of a run over files. Labels of updates come from the graph, or from the stream for new vertices."""
+    """(results, counters) of a run over files. Labels of updates come from the graph, and from the stream's own vertex lines before them."""
     vertices, edges = graph_files.read_graph(spark, graph)
-    log, declared = graph_files.read_updates(spark, updates)
-    known = all_vertices(vertices.union(declared), edges.select("src", "dst").union(log.select("src", "dst")))
+    labelled, known = graph_files.read_labelled_updates(spark, updates, vertices, edges)
     start = with_labels(GraphTables.load(vertices, edges).edges.select("src", "dst", "elabel"), known)
-    labelled = with_labels(log, known)
     results = continuous_match(attach_updates(start, labelled), pattern, mode, limit)
     return results, counters(spark, labelled, results, pattern)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidgraph.functions.pattern import Pattern
-from braidgraph.functions.storage import materialize
+from braidgraph.functions.storage import materialize, prefix_sums
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -75,13 +76,21 @@ def degree(arcs: DataFrame) -> DataFrame:
 
 def degree_offsets(spark: SparkSession, arcs: DataFrame) -> DataFrame:
     """id, degree and the sum of degrees of smaller ids. The sums run inside range partitions; partition totals are added after."""
-    ranged = materialize(spark, degree(arcs).repartitionByRange("id").withColumn("part", F.spark_partition_id()), "degrees")
-    inside = ranged.withColumn("before", F.coalesce(F.sum("degree").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals, at = {}, 0
-    for r in sorted(ranged.groupBy("part").agg(F.sum("degree").alias("n")).collect()):
-        totals[r.part], at = at, at + r.n
-    base = spark.createDataFrame(list(totals.items()), "part int, base long")  # one row a partition
-    return inside.join(F.broadcast(base), "part").select("id", "degree", (F.col("before") + F.col("base")).cast("long").alias("offset"))
+    summed = prefix_sums(spark, degree(arcs), [], ["id"], "degree", "upto", "degrees")
+    return summed.select("id", "degree", (F.col("upto") - F.col("degree")).alias("offset"))
+
+
+def label_offsets(spark: SparkSession, arcs: DataFrame) -> DataFrame:
+    """id, nlabel, n and offset: where the neighbours with a label start in the list of all arcs sorted by vertex and neighbour label."""
+    counts = arcs.groupBy(F.col("src").alias("id"), F.col("dst_label").alias("nlabel")).agg(F.count("*").alias("n"))
+    summed = prefix_sums(spark, counts, [], ["id", "nlabel"], "n", "upto", "label-counts")
+    return summed.select("id", "nlabel", "n", (F.col("upto") - F.col("n")).alias("offset"))
+
+
+def label_index(spark: SparkSession, vertices: DataFrame) -> DataFrame:
+    """label, id and the place (from 0) of the id among the sorted ids of its label."""
+    placed = prefix_sums(spark, vertices.select("label", "id", F.lit(1).alias("one")), ["label"], ["id"], "one", "upto", "label-index")
+    return placed.select("label", "id", (F.col("upto") - 1).alias("place"))
 
 
 def neighbour_labels(arcs: DataFrame) -> DataFrame:
@@ -94,8 +103,11 @@ def neighbour_map(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy(F.col("src").alias("id"), "dst_label").agg(F.count("*").alias("n")).groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dst_label", "n")))).alias("neighbours"))
 
 
-def edge_exists(pairs: DataFrame, arcs: DataFrame, negate: bool = False) -> DataFrame:
-    """Pairs (src, dst) with an edge between them, or without one."""
+def edge_exists(pairs: DataFrame, arcs: DataFrame, negate: bool = False, elabel: int | None = None, src_label: int | None = None, dst_label: int | None = None) -> DataFrame:
+    """Pairs (src, dst) with an edge between them, or without one; only edges with the labels that are given count."""
+    for column, label in (("elabel", elabel), ("src_label", src_label), ("dst_label", dst_label)):
+        if label is not None:
+            arcs = arcs.where(F.col(column) == label)
     return pairs.join(arcs.select("src", "dst").distinct(), ["src", "dst"], "left_anti" if negate else "left_semi")
 
 
@@ -118,7 +130,7 @@ def candidates(spark: SparkSession, arcs: DataFrame, p: Pattern) -> DataFrame:
     """
     rows = [(v, p.labels[v], k, label, n, len(p.neighbour_counts(v))) for v in range(p.n) for (k, label), n in p.neighbour_counts(v).items()]
     needs = spark.createDataFrame(rows, "qv int, label int, elabel int, nlabel int, need long, needs int")
-    met = neighbour_labels(arcs).join(F.broadcast(needs), ["label", "elabel", "nlabel"]).where("n >= need")  # at most MAX_VERTICES ** 2 rows
+    met = neighbour_labels(arcs).join(F.broadcast(needs), ["label", "elabel", "nlabel"]).where("n >= need")  # a row for each vertex of the pattern and kind of neighbour
     return met.groupBy("qv", "id").agg(F.count("*").alias("got"), F.first("needs").alias("needs")).where("got = needs").select("qv", "id")
 
 
@@ -172,6 +184,32 @@ def reduce_candidates(edges: DataFrame, p: Pattern) -> dict[int, DataFrame]:
     return found
 
 
+def prune_candidates(spark: SparkSession, edges: DataFrame, p: Pattern, rounds: int | None = None) -> DataFrame:
+    """(qv, id): candidates of any connected pattern, cycles included, after `rounds` rounds of semi-joins (None: until nothing changes).
+
+    In a round a data vertex stays a candidate of qv if for each of qv's edges it has a neighbour that was a candidate of the other end.
+    No match is lost; for trees, rounds until nothing changes leave just the vertices of matches. All edges of the pattern are joined at
+    once, every round is written, and only a count comes back.
+    """
+    _, directed = pattern_rows(spark, p)
+    labels = spark.createDataFrame(list(enumerate(p.labels)), "qv int, label int")
+    q = directed.join(labels.toDF("qsrc", "src_label"), "qsrc").join(labels.toDF("qdst", "dst_label"), "qdst")
+    needs = spark.createDataFrame([(v, p.degree(v)) for v in range(p.n)], "qsrc int, needs int")
+    views = both_ways(edges).select("src", "dst", "elabel", "src_label", "dst_label").join(F.broadcast(q), ["src_label", "elabel", "dst_label"]).select("qsrc", "qdst", "src", "dst")  # 2 rows a pattern edge
+    views = materialize(spark, views, "views-0")
+    n = 0
+    while True:
+        met = views.select("qsrc", "qdst", "src").distinct().groupBy("qsrc", "src").agg(F.count("*").alias("met"))
+        found = materialize(spark, met.join(F.broadcast(needs), "qsrc").where("met = needs").select(F.col("qsrc").alias("qv"), F.col("src").alias("id")), f"candidates-{n}")
+        n += 1
+        if n == rounds:
+            return found
+        kept = views.join(found.toDF("qsrc", "src"), ["qsrc", "src"], "left_semi").join(found.toDF("qdst", "dst"), ["qdst", "dst"], "left_semi")
+        before, views = views, materialize(spark, kept, f"views-{n}")
+        if views.count() == before.count():
+            return found
+
+
 def common_neighbours(arcs: DataFrame) -> DataFrame:
     """(a, b, n) for vertices a < b of one label: neighbours that both have. `arcs`: from the side to be paired to the other."""
     left, right = arcs.select(F.col("src").alias("a"), F.col("dst").alias("w")), arcs.select(F.col("src").alias("b"), F.col("dst").alias("w"))
@@ -179,10 +217,15 @@ def common_neighbours(arcs: DataFrame) -> DataFrame:
 
 
 def intersect_adjacency(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sorted array of common neighbours (array form, for bounded degrees)."""
-    lists = arcs.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("list"))
-    joined = pairs.join(lists.toDF("a", "la"), "a").join(lists.toDF("b", "lb"), "b")
-    return joined.select("a", "b", F.array_intersect("la", "lb").alias("common"))
+    """Pairs (a, b) with the sorted array of common neighbours: joined row by row, so that no vertex's whole list is ever held."""
+    found = common_of_pairs(pairs, arcs).groupBy("a", "b").agg(F.sort_array(F.collect_list("w")).alias("common"))
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.array().cast("array<long>")).alias("common"))
+
+
+def common_of_pairs(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(a, b, w): the common neighbours of each pair, a row each."""
+    plain = arcs.select("src", "dst").distinct()
+    return pairs.select("a", "b").distinct().join(plain.toDF("a", "w"), "a").join(plain.toDF("b", "w"), ["b", "w"]).select("a", "b", "w")
 
 
 def peel(arcs: DataFrame, k: int, rounds: int) -> DataFrame:
@@ -193,13 +236,13 @@ def peel(arcs: DataFrame, k: int, rounds: int) -> DataFrame:
     return arcs
 
 
-def core_numbers(spark: SparkSession, arcs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def core_numbers(spark: SparkSession, arcs: DataFrame) -> DataFrame:
     """(id, core) of every vertex with an edge: h-index iteration. A vertex's number falls to the h-index of its neighbours' numbers
     until none changes; it starts from the degree and ends at the core number. Every round is written to the
     shared folder, and neighbours' numbers are counted, not collected."""
     arcs = materialize(spark, arcs.select("src", "dst"), "arcs")
     now = materialize(spark, degree(arcs).select("id", F.col("degree").alias("core")), "cores-0")
-    for n in range(1, most_rounds):
+    for n in count(1):
         seen = arcs.join(now.withColumnRenamed("id", "dst"), "dst").join(now.select(F.col("id").alias("src"), F.col("core").alias("own")), "src")
         counts = seen.groupBy("src", "own", F.least("core", "own").alias("c")).agg(F.count("*").alias("n"))
         above = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("c")))
@@ -208,4 +251,3 @@ def core_numbers(spark: SparkSession, arcs: DataFrame, most_rounds: int = 10_000
         now = after.select("id", "core")
         if after.where("core <> own").isEmpty():
             return now
-    raise RuntimeError("core numbers did not settle")

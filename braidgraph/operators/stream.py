@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidgraph.functions.pattern import Pattern
+from braidgraph.functions.storage import prefix_sums
 from braidgraph.operators.graph import both_ways
 
 FOREVER = 9223372036854775807
@@ -44,12 +45,18 @@ def anchors(spark: SparkSession, updates: DataFrame, p: Pattern) -> DataFrame:
     return updates.join(F.broadcast(orbits), ["src_label", "elabel", "dst_label"])
 
 
+def matching_edges(spark: SparkSession, updates: DataFrame, p: Pattern) -> DataFrame:
+    """Updates with every directed pattern edge (qsrc, qdst) that their labels allow."""
+    rows = [(a, b, p.labels[a], k, p.labels[b]) for u, v, k in p.edges for a, b in ((u, v), (v, u))]
+    directed = spark.createDataFrame(rows, "qsrc int, qdst int, src_label int, elabel int, dst_label int")
+    return updates.join(F.broadcast(directed), ["src_label", "elabel", "dst_label"])  # 2 rows a pattern edge
+
+
 def running_size(updates: DataFrame, initial: DataFrame) -> DataFrame:
-    """Edges of each label after each of its updates."""
+    """Edges of each label after each of its updates: sums inside ranges of the log, however many updates a label has."""
     start = initial.groupBy("elabel").agg(F.count("*").alias("start"))
-    step = F.when(F.col("op") == "+", 1).otherwise(-1)
-    after = F.sum(step).over(Window.partitionBy("elabel").orderBy("update_id").rowsBetween(Window.unboundedPreceding, 0))
-    return updates.withColumn("change", after).join(start, "elabel", "left").select("update_id", "op", "elabel", (F.coalesce("start", F.lit(0)) + F.col("change")).cast("long").alias("size"))
+    steps = updates.select("update_id", "op", "elabel", F.when(F.col("op") == "+", 1).otherwise(-1).alias("step"))
+    return prefix_sums(updates.sparkSession, steps, ["elabel"], ["update_id"], "step", "change", "running").join(start, "elabel", "left").select("update_id", "op", "elabel", (F.coalesce("start", F.lit(0)) + F.col("change")).cast("long").alias("size"))
 
 
 def candidate_flips(spark: SparkSession, instances: DataFrame, p: Pattern) -> DataFrame:

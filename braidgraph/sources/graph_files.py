@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidgraph.functions.storage import number_rows
+from braidgraph.operators.graph import all_vertices, with_labels
 
 #: File names of a binary CSR folder (fixed values).
 CSR_FILES = ("b_degree.bin", "b_adj.bin", "b_vertex_label.bin", "b_edge_label.bin")
@@ -52,14 +53,42 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     v.union(e).write.text(path)
 
 
-def read_updates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(updates, vertices) of a stream file. updates: update_id (place among the updates, in file order), op, src, dst,
-    elabel; vertices: ids and labels that the stream declares."""
+#: Where a line of a stream stands.
+LINE = ["file", "block", "at"]
+
+
+def _stream(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(updates, vertices) of a stream file, each with its line."""
     raw = spark.read.text(path, wholetext=False).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     words = raw.withColumn("w", F.split(F.trim("value"), r"\s+"))
-    edges = words.where("w[0] in ('e', '-e')").select("file", "block", "at", F.when(F.col("w")[0] == "e", "+").otherwise("-").alias("op"), _long(1).alias("src"), _long(2).alias("dst"), F.coalesce(_long(3), F.lit(0)).cast("int").alias("elabel"))
+    edges = words.where("w[0] in ('e', '-e')").select(*LINE, F.when(F.col("w")[0] == "e", "+").otherwise("-").alias("op"), _long(1).alias("src"), _long(2).alias("dst"), F.coalesce(_long(3), F.lit(0)).cast("int").alias("elabel"))
     updates = number_rows(spark, edges, [F.col("file"), F.col("block"), F.col("at")], "update_id", "stream")
-    return updates.select("update_id", "op", "src", "dst", "elabel"), words.where("w[0] = 'v'").select(_long(1).alias("id"), _long(2).cast("int").alias("label"))
+    return updates, words.where("w[0] = 'v'").select(*LINE, _long(1).alias("id"), _long(2).cast("int").alias("label"))
+
+
+def read_updates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(updates, vertices) of a stream file. updates: update_id (place among the updates, in file order), op, src, dst,
+    elabel; vertices: ids and labels that the stream declares."""
+    updates, vertices = _stream(spark, path)
+    return updates.select("update_id", "op", "src", "dst", "elabel"), vertices.select("id", "label")
+
+
+def read_labelled_updates(spark: SparkSession, path: str, vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(updates with src_label and dst_label, vertices with the labels at the start). A `v` line of the stream labels its vertex for all updates
+    behind it; until the first one, a vertex has its label of the graph, or else the least one that the stream gives it, or else
+    the label after the largest one. Edges keep the labels with which they came."""
+    updates, declared = _stream(spark, path)
+    new = declared.select("id", "label").join(vertices.select("id"), "id", "left_anti")
+    known = all_vertices(vertices.select("id", "label").union(new), edges.select("src", "dst").union(updates.select("src", "dst")))
+    ends = [updates.select(*LINE, F.col(end).alias("id"), "update_id", F.lit(end).alias("end"), F.lit(None).cast("int").alias("label")) for end in ("src", "dst")]
+    touched = ends[0].union(ends[1]).join(declared.select("id").distinct(), "id", "left_semi").select(*LINE, "id", "update_id", "end", "label")
+    lines = touched.union(declared.select(*LINE, "id", F.lit(None).cast("long"), F.lit(None).cast("string"), "label"))
+    so_far = F.last("label", ignorenulls=True).over(Window.partitionBy("id").orderBy(*LINE).rowsBetween(Window.unboundedPreceding, 0))  # only of vertices that the stream labels
+    found = lines.withColumn("label", so_far).where("update_id is not null and label is not null").select("update_id", "end", "label")
+    plain = with_labels(updates.select("update_id", "op", "src", "dst", "elabel"), known)
+    for end in ("src", "dst"):
+        plain = plain.join(found.where(F.col("end") == end).select("update_id", F.col("label").alias("now")), "update_id", "left").withColumn(f"{end}_label", F.coalesce("now", f"{end}_label")).drop("now")
+    return plain.select("update_id", "op", "src", "dst", "elabel", "src_label", "dst_label"), known
 
 
 def _csr_paths(folder: str) -> list[str]:

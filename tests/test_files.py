@@ -1,3 +1,5 @@
+from braidgraph import cli
+from braidgraph.functions.pattern import Pattern
 from braidgraph.operators.graph import GraphTables
 from braidgraph.sources import graph_files as files
 
@@ -36,6 +38,19 @@ def test_update_stream(spark, tmp_path):
     assert rows(vertices) == [(9, 4)]
 
 
+def test_labels_change_in_a_stream(spark, tmp_path):
+    """A vertex line holds for what follows it; before it, the graph's label counts, or for new vertices the stream's."""
+    (tmp_path / "g").write_text("v 0 0\nv 1 1\nv 2 0\nv 3 5\ne 0 1 0\n")
+    (tmp_path / "u").write_text("e 1 2 0\nv 2 5\n-e 1 2 0\ne 1 2 0\ne 3 1 0\nv 3 0\ne 1 4 0\nv 4 0\n-e 3 1 0\ne 3 1 0\nv 2 0\n-e 1 2 0\ne 1 2 0\n")
+    updates, known = files.read_labelled_updates(spark, str(tmp_path / "u"), *files.read_graph(spark, str(tmp_path / "g")))
+    assert [(r.update_id, r.src_label, r.dst_label) for r in updates.orderBy("update_id").collect()] == [(1, 1, 0), (2, 1, 5), (3, 1, 5), (4, 5, 1), (5, 1, 0), (6, 0, 1), (7, 0, 1), (8, 1, 0), (9, 1, 0)]
+    assert rows(known) == [(0, 0), (1, 1), (2, 0), (3, 5), (4, 0)]
+    wedge = Pattern((0, 1, 0), ((0, 1, 0), (1, 2, 0)))
+    for mode in ("plain", "anchored"):
+        results, _ = cli.run(spark, str(tmp_path / "g"), wedge, str(tmp_path / "u"), mode)
+        assert rows(results) == [(1, "+", 2), (2, "-", 2), (5, "+", 2), (7, "+", 4), (9, "+", 6)]
+
+
 def test_binary_and_parquet(spark, tmp_path):
     v = spark.createDataFrame([(0, 1), (1, 2), (2, 2)], "id long, label int")
     e = spark.createDataFrame([(0, 1, 7), (1, 2, 8), (0, 2, 9)], "src long, dst long, elabel int")

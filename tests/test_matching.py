@@ -119,6 +119,68 @@ def test_stream_equals_bounded_run(spark, tmp_path, per_batch):
     assert len(matcher._batches("state")) <= 2
 
 
+def test_stream_state_is_compacted(spark, tmp_path):
+    """Tables and changes in turn, a repeated batch in the middle of the stream, state alone, and the costs of all batches."""
+    rng = random.Random(6)
+    p = Pattern((0, 1, 0), ((0, 1, 0), (1, 2, 0)))
+    labels = {v: v % 2 for v in range(7)}
+    pairs = [(u, v, k) for u in range(7) for v in range(u) if u % 2 != v % 2 for k in (0, 1)]
+    start, log = tables(spark, labels, pairs[:4], [(rng.choice("+-"), *rng.choice(pairs)) for _ in range(15)])
+    instances = attach_updates(start, log)
+    matcher = ContinuousMatcher(spark, start, p, str(tmp_path / "run"), compact=2)
+    views = ContinuousMatcher(spark, start, p, str(tmp_path / "views"), compact=100, view_only=True)
+    for n in range(5):
+        part = log.where(F.col("update_id").between(3 * n + 1, 3 * n + 3))
+        for _ in range(1 + (n == 3)):
+            matcher.process(part, n)
+        views.process(part, n)
+    assert as_dict(matcher.results()) == as_dict(continuous_match(instances, p))
+    want = sorted((r.src, r.dst, r.elabel, r.src_label, r.dst_label) for r in instances.where(f"del = {FOREVER}").collect())
+    for m in (matcher, views):
+        assert sorted(tuple(r) for r in m.present().collect()) == want
+        assert sorted((r.batch, r.rows) for r in m.costs().collect()) == [(n, 3) for n in range(5)]
+    assert len(matcher._batches("state")) == 2 and views._batches("results") == []
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_large_patterns(spark, seed):
+    """More vertices than symmetries are searched for, against a plain count."""
+    rng = random.Random(seed)
+    labels = {v: v for v in range(14)} | {20 + v: v for v in range(14)}
+    p = Pattern(tuple(range(14)), tuple((rng.randrange(max(0, v - 3), v), v, 0) for v in range(1, 14)) + ((0, 13, 0),))
+    initial = [(u + 20 * rng.randrange(2), v + 20 * rng.randrange(2), 0) for u, v, _ in p.edges for _ in range(3)]
+    updates = [(rng.choice("+-"), *rng.choice(initial)) for _ in range(6)] + [("+", u, v, 0) for u, v, _ in p.edges]
+    start, log = tables(spark, labels, sorted({(min(u, v), max(u, v), k) for u, v, k in initial}), updates)
+    want = brute.replay(labels, initial, [(i, *u) for i, u in enumerate(updates, 1)], p)
+    instances = attach_updates(start, log)
+    for mode in ("plain", "anchored", "all"):
+        assert as_dict(continuous_match(instances, p, mode)) == want, mode
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pruned_candidates(spark, seed):
+    """Rounds of semi-joins over patterns with and without cycles against a plain fixed point; matches keep their vertices."""
+    rng = random.Random(seed)
+    p = random_pattern(rng, 3 + seed % 3)
+    labels = {v: rng.randrange(2) for v in range(9)}
+    edges = sorted({(min(a, b), max(a, b), rng.randrange(2)) for a, b in (rng.sample(range(9), 2) for _ in range(18))})
+    start, _ = tables(spark, labels, edges, [])
+    near = {(u, k, v) for u, v, k in edges} | {(v, k, u) for u, v, k in edges}
+    now = {q: {v for v in labels if labels[v] == p.labels[q]} for q in range(p.n)}
+    states = []
+    while True:
+        after = {q: {v for v in now[q] if all(any((v, k, w) in near for w in now[x]) for x, k in p.adjacent[q].items())} for q in range(p.n)}
+        states.append({(q, v) for q in after for v in after[q]})
+        if after == now:
+            break
+        now = after
+    for rounds in (1, 2, None):
+        got = {(r.qv, r.id) for r in graph.prune_candidates(spark, start, p, rounds).collect()}
+        assert got == (states[-1] if rounds is None else states[min(rounds, len(states)) - 1])
+    for r in static_match(start, p).collect():
+        assert {(q, r[q]) for q in range(p.n)} <= states[-1]
+
+
 def test_candidates_and_flips(spark):
     rng = random.Random(2)
     p = Pattern((0, 1, 0), ((0, 1, 0), (1, 2, 0)))
