@@ -71,8 +71,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def pattern_sql(p: Pattern, relation: str) -> str:
-    """SELECT of the plain join of a pattern: edges one by one, all pairs of vertices unequal."""
+def pattern_sql(p: Pattern, relation: str, bound: dict[int, int] | None = None) -> str:
+    """SELECT of the plain join of a pattern: edges one by one, all pairs of vertices unequal; `bound` fixes vertices."""
     tables, where = [], []
     seen: dict[int, str] = {}
     for n, (a, b, k) in enumerate(p.edges):
@@ -85,6 +85,8 @@ def pattern_sql(p: Pattern, relation: str) -> str:
             if x in seen:
                 where.append(f"{seen[x]} = {column}")
             seen.setdefault(x, column)
+            if x in (bound or {}):
+                where.append(f"{column} = {bound[x]}")
     where += [f"{seen[a]} <> {seen[b]}" for a, b in p.same_label_pairs()]
     ids = ", ".join(f"{seen[x]} AS v{x}" for x in range(p.n))
     all_of = lambda c: ", ".join(f"e{n}.{c}" for n in range(len(p.edges)))
@@ -105,6 +107,16 @@ def csm(name: str, p: Pattern, mode: str) -> None:
     query(name, continuous_sql(p) + " SELECT update_id, op, matches FROM r")(lambda spark, d: match.continuous_match(tg.instances(spark, d), p, mode))
 
 
+def aut_sql(p: Pattern) -> str:
+    """pv, pe and aut: vertices, directed edges and automorphisms (p0, p1, ...) of a pattern."""
+    same = [f"x{a}.q <> x{b}.q" for a, b in p.same_label_pairs()]
+    kinds = [f"x{v}.label = {k}" for v, k in enumerate(p.labels)]
+    kept = [f"(x{u}.q, x{w}.q, {k}) IN (SELECT (a, b, k) FROM pe)" for u, w, k in p.edges]
+    return f""", pv AS (SELECT * FROM (VALUES {', '.join(f'({v}, {k})' for v, k in enumerate(p.labels))}) AS t(q, label)),
+pe AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {k})' for u, w, k in p.edges for a, b in ((u, w), (w, u)))}) AS t(a, b, k)),
+aut AS (SELECT {', '.join(f'x{v}.q AS p{v}' for v in range(p.n))} FROM {', '.join(f'pv x{v}' for v in range(p.n))} WHERE {' AND '.join(kinds + same + kept)})"""
+
+
 def needs_sql(p: Pattern) -> str:
     rows = ", ".join(f"({v}, {p.labels[v]}, {k}, {label}, {n}, {len(p.neighbour_counts(v))})" for v in range(p.n) for (k, label), n in sorted(p.neighbour_counts(v).items()))
     return f"(VALUES {rows}) AS needs(qv, label, elabel, nlabel, need, needs)"
@@ -141,7 +153,10 @@ def relevant_updates(spark, d):
     return stream.relevant(spark, tg.updates(spark, d), TRIANGLE).groupBy("elabel", "op").agg(F.count("*").alias("n"), F.sum("update_id").alias("ids"))
 
 
-@query("update_anchors", " SELECT elabel, op, count(*) AS n, 2::BIGINT AS orbit_size FROM u WHERE elabel = 2 GROUP BY ALL")
+@query("update_anchors", aut_sql(WEDGE) + """, img AS (SELECT a, b, k, [p0, p1, p2][a + 1] AS x, [p0, p1, p2][b + 1] AS y FROM pe, aut),
+rep AS (SELECT a, b, k, min(x * 100 + y) AS r, count(DISTINCT x * 100 + y) AS orbit_size FROM img GROUP BY a, b, k),
+orb AS (SELECT s.label AS src_label, k AS elabel, t.label AS dst_label, orbit_size FROM rep JOIN pv s ON s.q = a JOIN pv t ON t.q = b WHERE r = a * 100 + b)
+SELECT elabel, op, count(*) AS n, max(orbit_size) AS orbit_size FROM u JOIN orb USING (src_label, elabel, dst_label) GROUP BY ALL""")
 def update_anchors(spark, d):
     return stream.anchors(spark, tg.updates(spark, d), WEDGE).groupBy("elabel", "op").agg(F.count("*").alias("n"), F.max("orbit_size").cast("long").alias("orbit_size"))
 
@@ -158,10 +173,21 @@ def graph_summary(spark, d):
     return graph.GraphTables.load(tg.declared_vertices(spark, d), tg.dated_edges(spark, d).select("src", "dst", "elabel")).summary()
 
 
-@query("label_index", " SELECT label, count(*) AS n, min(id) AS first, max(id) AS last FROM v WHERE label IN (4, 5) GROUP BY label")
+@query("label_index", " SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS place FROM v")
 def label_index(spark, d):
-    v = graph.all_vertices(tg.declared_vertices(spark, d), tg.edges(spark, d))
-    return v.where(F.col("label").isin(4, 5)).groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    return graph.label_index(spark, graph.all_vertices(tg.declared_vertices(spark, d), tg.edges(spark, d)))
+
+
+@query("label_offsets", """, c AS (SELECT src AS id, dst_label AS nlabel, count(*) AS n FROM arcs GROUP BY ALL)
+SELECT id, nlabel, n, (sum(n) OVER (ORDER BY id, nlabel ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n)::BIGINT AS "offset" FROM c""")
+def label_offsets(spark, d):
+    return graph.label_offsets(spark, graph.both_ways(tg.edges(spark, d)))
+
+
+@query("matching_query_edges", f""", q AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {WEDGE.labels[a]}, {k}, {WEDGE.labels[b]})' for u, w, k in WEDGE.edges for a, b in ((u, w), (w, u)))}) AS q(qsrc, qdst, src_label, elabel, dst_label))
+SELECT qsrc, qdst, op, count(*) AS n, sum(update_id)::BIGINT AS ids FROM u JOIN q USING (src_label, elabel, dst_label) GROUP BY ALL""")
+def matching_query_edges(spark, d):
+    return stream.matching_edges(spark, tg.updates(spark, d), WEDGE).groupBy("qsrc", "qdst", "op").agg(F.count("*").alias("n"), F.sum("update_id").alias("ids"))
 
 
 @query("degree_offsets", " SELECT id, degree, coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM (SELECT src AS id, count(*) AS degree FROM arcs GROUP BY src)")
@@ -196,6 +222,13 @@ def edge_exists(spark, d):
     return both.groupBy("found").agg(F.count("*").alias("n"), F.sum("src").alias("srcs"))
 
 
+@query("edge_exists_labelled", _PAIRS_SQL + " SELECT k AS elabel, count(*) AS n, sum(q.src)::BIGINT AS srcs FROM q, (VALUES (3), (4)) AS t(k) WHERE (q.src, q.dst, k) IN (SELECT (src, dst, elabel) FROM e WHERE src_label = 4 AND dst_label = 6) GROUP BY k")
+def edge_exists_labelled(spark, d):
+    pairs, arcs = _pairs(spark, d), tg.edges(spark, d)
+    parts = [graph.edge_exists(pairs, arcs, elabel=k, src_label=4, dst_label=6).withColumn("elabel", F.lit(k)) for k in (3, 4)]
+    return parts[0].union(parts[1]).groupBy("elabel").agg(F.count("*").alias("n"), F.sum("src").alias("srcs"))
+
+
 @query("edge_label_lookup", _PAIRS_SQL + " SELECT coalesce(e.elabel, -1) AS elabel, count(*) AS n FROM q LEFT JOIN e ON (q.src, q.dst) = (e.src, e.dst) GROUP BY ALL")
 def edge_label_lookup(spark, d):
     return graph.edge_label_lookup(_pairs(spark, d), tg.edges(spark, d)).groupBy(F.coalesce("elabel", F.lit(-1)).alias("elabel")).agg(F.count("*").alias("n"))
@@ -229,6 +262,21 @@ def semijoin_reduce(spark, d):
     return out.select("qv", "n", "ids")
 
 
+def _prune_sql(p: Pattern, rounds: int) -> str:
+    """Rounds of semi-joins over the arcs of each directed pattern edge."""
+    steps = [f"q AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {k}, {p.labels[a]}, {p.labels[b]})' for u, w, k in p.edges for a, b in ((u, w), (w, u)))}) AS q(qsrc, qdst, elabel, src_label, dst_label))", f"needs AS (SELECT * FROM (VALUES {', '.join(f'({v}, {p.degree(v)})' for v in range(p.n))}) AS t(qv, needs))", "w0 AS (SELECT qsrc, qdst, src, dst FROM arcs JOIN q USING (elabel, src_label, dst_label))"]
+    for n in range(rounds):
+        steps.append(f"c{n} AS (SELECT qsrc AS qv, src AS id FROM w{n} GROUP BY qsrc, src HAVING count(DISTINCT qdst) = (SELECT needs FROM needs WHERE qv = qsrc))")
+        steps.append(f"w{n + 1} AS (SELECT * FROM w{n} WHERE (qsrc, src) IN (SELECT (qv, id) FROM c{n}) AND (qdst, dst) IN (SELECT (qv, id) FROM c{n}))")
+    return ", " + ", ".join(steps) + f" SELECT qv, count(*) AS n, sum(id)::BIGINT AS ids FROM c{rounds - 1} GROUP BY qv"
+
+
+@query("semijoin_cycle", _prune_sql(IN_NATION, 3))
+def semijoin_cycle(spark, d):
+    """Candidates of a pattern with a cycle, the triangle in a nation, after three rounds."""
+    return graph.prune_candidates(spark, tg.edges(spark, d), IN_NATION, 3).groupBy("qv").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query("common_neighbours", " SELECT a.src AS a, b.src AS b, count(*) AS n FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src WHERE a.elabel = 2 AND b.elabel = 2 GROUP BY ALL ORDER BY n DESC, a, b LIMIT 50")
 def common_neighbours(spark, d):
     """Top-k report: the 50 pairs of parts with most orders in common."""
@@ -239,7 +287,7 @@ def common_neighbours(spark, d):
 def intersect_adjacency(spark, d):
     e = tg.edges(spark, d)
     pairs = e.where("elabel = 3").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return graph.intersect_adjacency(pairs, graph.both_ways(e.where("elabel in (2, 4)")).where("src_label <> 6")).select("a", "b", F.size("common").cast("long").alias("n")).where("n > 0")
+    return graph.common_of_pairs(pairs, graph.both_ways(e.where("elabel in (2, 4)")).where("src_label <> 6")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def _trade(spark, d):
@@ -267,9 +315,20 @@ def peel_rounds(spark, d):
 
 # ---- analyses of patterns
 
-@query("cut_vertices")
+_CUT = (TRIANGLE, PATH, PENDANTS, ARMS)
+_CUT_SQL = f"""WITH RECURSIVE pe AS (SELECT * FROM (VALUES {', '.join(f"('{p.name}', {a}, {b})" for p in _CUT for u, w, _ in p.edges for a, b in ((u, w), (w, u)))}) AS t(pattern, a, b)),
+pv AS (SELECT DISTINCT pattern, a AS q FROM pe),
+reach AS (SELECT x.pattern, x.q AS gone, (SELECT min(y.q) FROM pv y WHERE y.pattern = x.pattern AND y.q <> x.q) AS q FROM pv x
+          UNION SELECT reach.pattern, gone, b FROM reach JOIN pe ON pe.pattern = reach.pattern AND pe.a = reach.q AND pe.b <> gone)
+SELECT pattern, gone AS qv FROM reach GROUP BY pattern, gone HAVING count(*) < (SELECT count(*) FROM pv WHERE pv.pattern = reach.pattern) - 1"""
+
+
+@query("cut_vertices", None)
 def cut_vertices(spark, d):
-    return spark.createDataFrame([(p.name, x) for p in (TRIANGLE, PATH, PENDANTS, ARMS) for x in p.cut_vertices()], "pattern string, qv int")
+    return spark.createDataFrame([(p.name, x) for p in _CUT for x in p.cut_vertices()], "pattern string, qv int")
+
+
+ORACLE_SQL["cut_vertices"] = _CUT_SQL
 
 
 @query("blocks")
@@ -287,19 +346,12 @@ def isomorphic_subpatterns(spark, d):
     return spark.createDataFrame([(p.name, n, list(s)) for p in (ARMS, ALL_SHARED) for n, g in enumerate(analysis.isomorphic_subpatterns(p)) for s in g], "pattern string, group_no int, vertices array<int>")
 
 
-_AUT_SQL = f""", pv AS (SELECT * FROM (VALUES {', '.join(f'({v}, {k})' for v, k in enumerate(SQUARE.labels))}) AS t(q, label)),
-pe AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {k})' for u, w, k in SQUARE.edges for a, b in ((u, w), (w, u)))}) AS t(a, b, k)),
-aut AS (SELECT x0.q AS p0, x1.q AS p1, x2.q AS p2, x3.q AS p3 FROM pv x0, pv x1, pv x2, pv x3
-  WHERE x0.label = 5 AND x1.label = 6 AND x2.label = 5 AND x3.label = 6 AND x0.q <> x2.q AND x1.q <> x3.q
-    AND {' AND '.join(f'(x{u}.q, x{w}.q, {k}) IN (SELECT (a, b, k) FROM pe)' for u, w, k in SQUARE.edges)})"""
-
-
-@query("automorphisms", _AUT_SQL + " SELECT p0, p1, p2, p3 FROM aut")
+@query("automorphisms", aut_sql(SQUARE) + " SELECT p0, p1, p2, p3 FROM aut")
 def automorphisms(spark, d):
     return spark.createDataFrame(SQUARE.automorphisms, "p0 int, p1 int, p2 int, p3 int")
 
 
-@query("edge_orbits", _AUT_SQL + """, img AS (SELECT a, b, [p0, p1, p2, p3][a + 1] AS x, [p0, p1, p2, p3][b + 1] AS y FROM pe, aut),
+@query("edge_orbits", aut_sql(SQUARE) + """, img AS (SELECT a, b, [p0, p1, p2, p3][a + 1] AS x, [p0, p1, p2, p3][b + 1] AS y FROM pe, aut),
 rep AS (SELECT a, b, min(x * 100 + y) AS r FROM img GROUP BY a, b) SELECT a AS qsrc, b AS qdst, r // 100 AS rep_src, r % 100 AS rep_dst, count(*) OVER (PARTITION BY r) AS orbit_size FROM rep""")
 def edge_orbits(spark, d):
     return spark.createDataFrame([(u, v, *o[0], len(o)) for o in SQUARE.edge_orbits for u, v in o], "qsrc int, qdst int, rep_src int, rep_dst int, orbit_size long")
@@ -328,7 +380,7 @@ def enumerate_limit(spark, d):
     return match.enumerate_matches(tg.edges(spark, d), TRIANGLE, 100)
 
 
-@query("match_bound", f", m AS ({static_sql(TRIANGLE)}) SELECT v0, v1, v2 FROM m WHERE v2 = 4000000001")
+@query("match_bound", f", m AS ({pattern_sql(TRIANGLE, 'e', {2: 4_000_000_001})}) SELECT v0, v1, v2 FROM m")
 def match_bound(spark, d):
     return match.static_match(tg.edges(spark, d), TRIANGLE, {2: 4_000_000_001})
 
