@@ -11,11 +11,12 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import count
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidgraph.functions.storage import materialize
@@ -96,6 +97,19 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dic
     return df.mapInArrow(tidied(run), ddl)
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, which may hold dots and backticks."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name that no column has (upper and lower case are one)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list:
     """The texts of a string column as bytes (None where null)."""
     return column.cast(pa.binary()).to_pylist()
@@ -272,7 +286,7 @@ def components(spark: SparkSession, edges: DataFrame, tag: str) -> DataFrame:
     pairs = forest.where("a <> b")
     pairs = materialize(spark, pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{tag}-edges")
     labels = materialize(spark, pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), f"{tag}-0")
-    for n in range(1, 64):
+    for n in count(1):
         near = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("component", "near").alias("via"), F.col("component").alias("before"))
         roots = labels.select(F.col("node").alias("via"), F.col("component").alias("root"))
@@ -280,4 +294,3 @@ def components(spark: SparkSession, edges: DataFrame, tag: str) -> DataFrame:
         labels = after.select("node", "component")
         if after.where("component <> before").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle")

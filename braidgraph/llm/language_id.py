@@ -210,8 +210,8 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PREDICTED)
 
 
-def tag(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a struct column __language (lang_pred, lang_score) added, row by row (no join by id)."""
+def tag(spark: SparkSession, docs: DataFrame, model: Model | None, name: str = "__language") -> DataFrame:
+    """docs with a struct column (lang_pred, lang_score) added, row by row (no join by id)."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, lang_score double")
@@ -219,7 +219,7 @@ def tag(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
         found = [_predict_some(texts.iloc[low : low + 128].tolist(), shared.value) for low in range(0, len(texts), 128)]
         return pd.DataFrame({"lang_pred": [k for part in found for k in part[0]], "lang_score": [s for part in found for s in part[1]]})
 
-    return docs.withColumn("__language", guess("text"))
+    return docs.withColumn(name, guess("text"))
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:

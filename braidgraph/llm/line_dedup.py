@@ -11,7 +11,8 @@ documents and two different lines at least are looked into; a leaf's size only a
 
 Defined results: null and empty texts have no lines and give an empty text; lines without a word are kept and never
 count; a row whose doc_id is null keeps all its lines and gives no template; rows that share a doc_id count as one
-document. Only the named columns are read, and `rewrite` passes all others on.
+document; texts and lines of any length are read whole; of documents with a recurring line the smallest doc_id keeps it. Only the named columns
+are read, and `rewrite` passes all others on, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import DIGIT, MIX_A, U64, Words, arrow_schema, map_batches, materialize, mix, signed, tidied, utf8, word_chunks, words_of
+from braidgraph.llm.common import DIGIT, MIX_A, U64, Words, arrow_schema, fresh, map_batches, materialize, mix, named, signed, tidied, utf8, word_chunks, words_of
 
 DEPTH = 3
 #: Hash of a field (fixed value: any number that isn't a likely word hash).
@@ -150,15 +151,17 @@ def _values(x: pa.ListScalar) -> np.ndarray | None:
     return x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
 
 
-def rewrite(spark: SparkSession, docs: DataFrame, min_docs: int = 10, similarity: int = 75, min_words: int = 8) -> DataFrame:
-    """docs with recurring lines taken out of text, and __dropped (lines taken out) added; all other columns as they are."""
+def rewrite(spark: SparkSession, docs: DataFrame, min_docs: int = 10, similarity: int = 75, min_words: int = 8, dropped: str = "__dropped") -> DataFrame:
+    """docs with recurring lines taken out of text, and the number of lines taken out added; all other columns as they are."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = recurring_lines(spark, texts, min_docs, similarity, min_words).toDF("__doc", "__places", "__keys")
+    doc, places, keys, new = (fresh(docs.columns, c) for c in ("__doc", "__places", "__keys", "__new"))
+    gone = recurring_lines(spark, texts, min_docs, similarity, min_words).toDF(doc, places, keys)
 
     @F.pandas_udf("text string, dropped long")
     def strip(text: pd.Series, places: pd.Series, keys: pd.Series) -> pd.DataFrame:
         made = [without(None if t is None else t.encode(), p, k) for t, p, k in zip(text, places, keys, strict=True)]
         return pd.DataFrame({"text": [None if t is None else m[2].decode() for t, m in zip(text, made, strict=True)], "dropped": [m[1] for m in made]})
 
-    joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").withColumn("__new", strip(docs["text"], "__places", "__keys"))
-    return joined.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__new.dropped").alias("__dropped"))
+    joined = docs.join(gone, docs["doc_id"] == gone[doc], "left").withColumn(new, strip(docs["text"], places, keys))
+    columns = [F.col(f"{new}.text").alias("text") if c == "text" else x for c, x in zip(docs.columns, named(docs.columns), strict=True)]
+    return joined.select(*columns, F.col(f"{new}.dropped").alias(dropped))
