@@ -90,3 +90,15 @@ SELECT doc_id, coalesce(t, '') AS text, coalesce(CASE WHEN ls = [''] THEN 0 ELSE
        coalesce(len(ls) - coalesce(n, 0), 0)::BIGINT AS n_dropped
 FROM docs LEFT JOIN kept USING (r)
 """
+
+
+def ablations_sql(rules: tuple[tuple[str, int], ...]) -> str:
+    """Of the rules (name, bit) of a policy: documents that fail each, that fail it alone, and that pass all."""
+    mask = sum(1 << b for _, b in rules)
+    names = ", ".join(f"('{name}', {1 << b})" for name, b in rules)
+    return f"""
+WITH judged AS ({OP3}), bits AS (SELECT failed_bits & {mask} AS b, count(*) AS n FROM judged GROUP BY 1)
+SELECT rule, bit::BIGINT AS bit, coalesce(sum(n) FILTER (WHERE b & bit <> 0), 0)::BIGINT AS fail, coalesce(sum(n) FILTER (WHERE b = bit), 0)::BIGINT AS fail_only_this,
+       coalesce(sum(n) FILTER (WHERE b = 0), 0)::BIGINT AS pass_all
+FROM bits, (VALUES {names}) AS t(rule, bit) GROUP BY rule, bit
+"""

@@ -24,6 +24,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), "kept", F.col("failed").alias("failed_bits"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 does, from the failure bits of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
@@ -70,10 +75,12 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
     "pipeline": pipeline,
+    "quality_ablations": quality_ablations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": oracles.OP1,
     "op3_quality_rules": oracles.OP3,
+    "quality_ablations": oracles.ablations_sql(tuple((r.name, r.bit) for r in quality_rules.RULES if r.name in quality_rules.POLICIES["v1"])),
     "op7_ngram_join": oracles.OP7,
     "op8_substring_dedup": oracles.OP8,
 }
