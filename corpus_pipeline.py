@@ -24,25 +24,27 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.ship(spark)
-    model = language_id.fit(spark, docs)
-    return language_id.tag(spark, docs, model).where((F.col("__language.lang_pred") != "und") & (F.col("__language.lang_score") >= LEAST_SCORE)).select(docs.columns)
+    found = common.fresh(docs.columns, "__language")
+    tagged = language_id.tag(spark, docs, language_id.fit(spark, docs), found)
+    return tagged.where((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.lang_score") >= LEAST_SCORE)).select(common.named(docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.ship(spark)
-    kept = line_dedup.rewrite(spark, docs)
-    emptied = (F.col("__dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return kept.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    dropped = common.fresh(docs.columns, "__dropped")
+    kept = line_dedup.rewrite(spark, docs, dropped=dropped)
+    emptied = (F.col(dropped) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(common.named(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.ship(spark)
-    return ngram_join.keep_one(spark, docs, k=5, percent=80).select(docs.columns)
+    return ngram_join.keep_one(spark, docs, k=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.ship(spark)
-    return decontaminate.without_contaminated(spark, docs, common.table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.without_contaminated(spark, docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
