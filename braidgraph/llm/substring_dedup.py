@@ -5,17 +5,19 @@ q-word grams inside it. Equal windows have equal minimisers, so a minimiser's do
 any of its windows. Steps:
 
 1. Documents with the same words are one class; all but its smallest doc_id lose every word and search no further.
-2. Each task sketches the (document, minimiser) pairs of its rows: two rows of counters, cut into blocks by the
-   minimiser's high bits. Blocks of all tasks are merged by addition. There are COUNTERS_PER_ITEM counters a pair
-   however many pairs there are, so blocks grow in number, not in size, and no sketch is held whole anywhere.
-3. Pairs whose estimate (the smaller of the two counters) is 2 or more are kept: they meet their own block in a join.
-   An estimate is never too small, so no repeated window is lost.
-4. A second pass over the texts hashes (96 bits) only windows with a kept minimiser and groups these exactly.
+2. Each task gathers the (document, minimiser) pairs of its rows by block, blocks being ranges of hashed minimisers. A minimiser of several of the
+   task's documents is repeated for certain: its pairs are kept, and one word of it goes to its block instead of all of them.
+   The task's counters of a block (two rows of them) are a partition sketch; those of all tasks are merged by addition. There are COUNTERS_PER_ITEM
+   counters a pair however many pairs there are, so blocks grow in number, not in size, and no sketch is held whole anywhere.
+3. Pairs whose estimate (the smaller of the two counters) is 2 or more are kept: pairs are dealt out by block, and stream past
+   their block's merged sketch, which is loaded once. An estimate is never too small, so no repeated window is lost.
+4. A second pass over the texts hashes (96 bits) only windows with a kept minimiser. Of the same window in several documents of a task all but the
+   smallest document lose it for certain, and only that one goes on to be grouped exactly with other tasks' windows.
    Windows whose smallest document is another one are removed with all the words they cover.
 
 Defined results: null and empty texts have no words; texts with fewer words than a window lose nothing (nor do they if equal);
-of rows with one doc_id none removes from another; a row whose doc_id is null loses and removes nothing; an empty table
-gives an empty result. Only the two named columns are read.
+of rows with one doc_id none removes from another; a row whose doc_id is null loses and removes nothing; of equal windows the
+smallest doc_id keeps its own; texts of any length are read whole; an empty table gives an empty result. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -60,9 +62,10 @@ class Passages:
             yield row, a, max(a, b - self.length + 1), b - a
 
     def sequence_keys(self, a: int, n: int) -> tuple[int, int]:
-        """128 bits of a row's whole word sequence: n words from word a."""
+        """128 bits of a row's whole word sequence: n words from word a, each mixed with its place, so that no pattern of words cancels out."""
         with np.errstate(over="ignore"):
-            both = np.array([self.other[a + n] - self.other[a], self.prefix[a + n] - self.prefix[a]]) * np.array([_second.down[a], _first.down[a]])
+            placed = mix(self.words.hashes[a : a + n] + np.arange(1, n + 1, dtype=U64) * MIX_A)
+            both = np.array([placed.sum(dtype=U64), mix(placed * MIX_B + MIX_A).sum(dtype=U64)])
             return tuple(signed(mix(both + U64(n))).tolist())
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -80,18 +83,31 @@ def block_of(item: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(item ^ MIX_B) % U64(blocks)).astype(np.int64)
 
 
+PAIRS = "block long, docs binary, items binary, twice binary"
+
+
 def _by_block(blocks: int):
-    """Rows (doc_id, mins) -> (block, docs, items): the pairs of a task, gathered by block."""
-    schema = arrow_schema("block long, docs binary, items binary")
+    """Rows (doc_id, mins) -> PAIRS: the pairs of a task gathered by block, and minimisers that several of its documents have; these
+    documents' own pairs follow under block -1."""
+    schema = arrow_schema(PAIRS)
 
     def out(docs, items):
         docs, items = np.concatenate(docs), np.concatenate(items)
+        order = np.argsort(items, kind="stable")
+        docs, items = docs[order], items[order]
+        start = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
+        many = np.diff(start, append=len(items)) > 1
+        several = np.repeat(many, np.diff(start, append=len(items)))
+        rows = [(-1, docs[several].tobytes(), items[several].tobytes(), b"")] if several.any() else []
+        docs, items, twice = docs[start], items[start], many  # one of each minimiser
         at = block_of(items, blocks)
         order = np.argsort(at, kind="stable")
-        at, docs, items = at[order], docs[order], items[order]
+        at, docs, items, twice = at[order], docs[order], items[order], twice[order]
         names, starts = np.unique(at, return_index=True)
-        ends = [*starts[1:], len(at)]
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([docs[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([items[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], schema=schema)
+        for name, a, b in zip(names.tolist(), starts, [*starts[1:], len(at)], strict=True):
+            one = ~twice[a:b]
+            rows.append((name, docs[a:b][one].tobytes(), items[a:b][one].tobytes(), items[a:b][~one].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
         docs, items, n = [], [], 0
@@ -113,9 +129,11 @@ def _by_block(blocks: int):
 def _sketch(batch):
     """A task's counters of each block: the cells in use and their counts (2 stands for more)."""
     made = {"block": [], "row": [], "cells": [], "counts": []}
-    for block, items in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+    for block, items, twice in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+        twice = np.frombuffer(twice, U64)
+        items = np.concatenate([np.frombuffer(items, U64), twice, twice])
         for row in (0, 1):
-            at, count = np.unique(cells(np.frombuffer(items, U64), row), return_counts=True)
+            at, count = np.unique(cells(items, row), return_counts=True)
             made["block"].append(block)
             made["row"].append(row)
             made["cells"].append(at.tobytes())
@@ -135,19 +153,34 @@ def _merge(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [parts["block"].iloc[0]], "bits0": [bits[0]], "bits1": [bits[1]]})
 
 
-def _estimated(batch):
-    """Pairs whose estimate is 2 or more: (doc_id, item)."""
-    docs, items = [], []
-    for doc, item, *bits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-        doc, item = np.frombuffer(doc, np.int64), np.frombuffer(item, U64)
-        keep = np.ones(len(item), bool)
-        for row in (0, 1):
-            at = cells(item, row)
-            keep &= (np.frombuffer(bits[row], np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-        docs.append(doc[keep])
-        items.append(item[keep])
-    if docs:
-        yield {"doc_id": np.concatenate(docs), "item": signed(np.concatenate(items))}
+def _estimated(batches):
+    """Rows (block, is_pairs, one, two) sorted so that each block's bits come before its pairs (docs, items) -> pairs whose estimate is 2 or
+    more: (doc_id, item)."""
+    schema = arrow_schema("doc_id long, item long")
+    at, bits = None, []
+    for batch in batches:
+        docs, items = [], []
+        for block, pairs, one, two in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if not pairs:
+                at, bits = block, [np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)]
+                continue
+            doc, item = np.frombuffer(one, np.int64), np.frombuffer(two, U64)
+            if block != at:
+                raise ValueError("pairs without their sketch")
+            keep = np.ones(len(item), bool)
+            for row in (0, 1):
+                cell = cells(item, row)
+                keep &= (bits[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+            docs.append(doc[keep])
+            items.append(item[keep])
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(signed(np.concatenate(items)))], schema=schema)
+
+
+def _unpacked(batch):
+    """Pairs that need no estimate: (doc_id, item)."""
+    docs, items = (b"".join(batch.column(i).to_pylist()) for i in (1, 2))
+    return {"doc_id": np.frombuffer(docs, np.int64), "item": np.frombuffer(items, np.int64)}
 
 
 def removed_windows(spark: SparkSession, texts: DataFrame, length: int) -> DataFrame:
@@ -169,29 +202,50 @@ def removed_windows(spark: SparkSession, texts: DataFrame, length: int) -> DataF
     singles = materialize(spark, joined.where("doc_id = rep").select("doc_id", "mins"), "singles")
     n_items = singles.agg(F.sum(F.size("mins")).alias("n")).first().n or 1
     blocks = max(1, -(-n_items * COUNTERS_PER_ITEM // (2 * BLOCK_COUNTERS)))
-    pairs = materialize(spark, singles.mapInArrow(tidied(_by_block(blocks)), "block long, docs binary, items binary"), "pairs")
-    parts = map_batches(pairs, _sketch, "block long, row int, cells binary, counts binary")
-    sketch = materialize(spark, parts.groupBy("block").applyInPandas(_merge, "block long, bits0 binary, bits1 binary"), "sketch")
-    kept = map_batches(pairs.join(sketch, "block").select("docs", "items", "bits0", "bits1"), _estimated, "doc_id long, item long")
+    pairs = materialize(spark, singles.mapInArrow(tidied(_by_block(blocks)), PAIRS), "pairs")
+    asked = pairs.where("block >= 0")
+    parts = map_batches(asked, _sketch, "block long, row int, cells binary, counts binary")
+    sketch = parts.groupBy("block").applyInPandas(_merge, "block long, bits0 binary, bits1 binary")
+    both = sketch.select("block", F.lit(False).alias("is_pairs"), F.col("bits0").alias("one"), F.col("bits1").alias("two")).union(asked.where(F.length("docs") > 0).select("block", F.lit(True), "docs", "items"))
+    estimated = both.repartition("block").sortWithinPartitions("block", "is_pairs").mapInArrow(tidied(_estimated), "doc_id long, item long")
+    kept = estimated.union(map_batches(pairs.where("block < 0"), _unpacked, "doc_id long, item long"))
     wanted = kept.groupBy("doc_id").agg(F.collect_set("item").alias("mins"))
 
     def hash_wanted(batches):
-        schema = arrow_schema("w1 long, w2 int, doc_id long")
+        schema = arrow_schema("w1 long, w2 int, doc_id long, gone boolean")
+
+        def out(made):
+            w1, w2, doc = (np.concatenate(x) for x in zip(*made, strict=True))
+            order = np.lexsort((doc, w2, w1))
+            w1, w2, doc = w1[order], w2[order], doc[order]
+            same = np.zeros(len(w1), bool)  # as the window before
+            same[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+            first = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(w1))))]
+            keep = ~same | (doc > first)  # of a repeated row of the smallest doc_id, one
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (w1, w2, doc, same)], schema=schema)
+
+        made, n = [], 0
         for batch in batches:
             docs, mins = batch.column(0).to_pylist(), batch.column(2)
             for words in word_chunks(batch.column(1)):
-                p, made = Passages(words, length), []
+                p = Passages(words, length)
                 w1, w2 = p.keys()
                 for row, a, b, _ in p.rows():
                     if b > a:
                         hit = a + np.flatnonzero(np.isin(p.minimisers[a:b], mins[row].values.to_numpy(zero_copy_only=False).view(U64)))
                         once = hit[np.unique(w1[hit], return_index=True)[1]]
                         made.append((signed(w1[once]), w2[once], np.full(len(once), docs[row], np.int64)))
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], schema=schema)
-
-    windows = texts.join(wanted, "doc_id").select("doc_id", "text", "mins").mapInArrow(tidied(hash_wanted), "w1 long, w2 int, doc_id long")
-    repeated = windows.withColumn("first", F.min("doc_id").over(Window.partitionBy("w1", "w2"))).where("doc_id > first")
+                        n += len(once)
+                if n >= CHUNK:
+                    yield out(made)
+                    made, n = [], 0
+        if made:
+            yield out(made)
+
+    windows = texts.join(wanted, "doc_id").select("doc_id", "text", "mins").mapInArrow(tidied(hash_wanted), "w1 long, w2 int, doc_id long, gone boolean")
+    #: What a task has settled already isn't brought together by window: salted by document.
+    salt = F.when(F.col("gone"), F.xxhash64("doc_id")).otherwise(F.lit(0))
+    repeated = windows.withColumn("salt", salt).withColumn("first", F.min("doc_id").over(Window.partitionBy("w1", "w2", "salt"))).where("gone or doc_id > first")
     return repeated.select("doc_id", F.col("w1").alias("gone")).union(copies).groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
 
 
