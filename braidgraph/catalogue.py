@@ -372,6 +372,9 @@ _count("match_path", PATH, 4)
 _count("match_path_factorised", PATH, 2, "factorised")
 _count("match_factorised", PENDANTS, 2, "factorised")
 _count("match_shared", SAME_SUPPLIER, 3, "shared_subpattern")
+#: The same by plain joins, for comparison of the modes' times.
+_count("match_pendants", PENDANTS, 2)
+_count("match_same_supplier", SAME_SUPPLIER, 3)
 
 
 @query("enumerate_limit", f", m AS ({static_sql(TRIANGLE)}) SELECT v0, v1, v2 FROM m ORDER BY v0, v1, v2 LIMIT 100")
@@ -389,7 +392,9 @@ csm("csm_insert_delete", TRIANGLE, "plain")
 csm("csm_anchored", TRIANGLE, "anchored")
 csm("csm_anchored_orbits", WEDGE, "anchored")
 csm("csm_shared", SAME_SUPPLIER, "shared_subpattern")
+csm("csm_same_supplier", SAME_SUPPLIER, "plain")
 csm("csm_factorised", PENDANTS, "factorised")
+csm("csm_pendants", PENDANTS, "plain")
 csm("csm_iso_shared", ARMS, "iso_subpattern")
 csm("csm_combined", COMBINED, "shared+factorised")
 csm("csm_all", ALL_SHARED, "all")
