@@ -5,23 +5,30 @@ Two sets of sizes s <= r with |A & B| / |A | B| >= t differ in at most s * (1 -
 cut into m segments, and each segment i gets an allowance e_i: 0 (the two subsets there are equal) or 1 (they differ
 by one element at most, found through one-deletion neighbourhoods). With sum(e_i + 1) = H + g, the segments in which
 any linking pair agrees within the allowance weigh g at least (a segment weighs e_i + 1). Equal subsets are tiny in both sets or
-in neither, so a set with fewer than g tiny subsets in segments of allowance 0 needn't tell these: it still shares another
-signature with every set that it links with. `allocate` picks m, the allowances and g for a band at least cost,
+in neither, and a subset is hot (held by more than HOT documents, with SMALL elements at most) for all its documents or for none. So a set with few
+tiny subsets in segments of allowance 0 needn't tell these, and one with few hot ones needn't meet others in them: g - 1 agreements may be lost in all,
+shared out between the two kinds, and every linking pair still meets in another signature. `allocate` picks m, the allowances and g for a band at least cost,
 from the exact count of its documents: signatures written against pairs that meet by chance in an empty subset. Chance
 pairs grow with the square of the count, so larger inputs get more to spare. A set writes signatures for its own band and for
 every band that holds sizes down to t times its own.
 
-Sharing a signature makes candidates, never links. Candidates are kept as stars (document, first document of the
-signature), contracted to clusters, and the sets of each cluster are compared in blocks of bounded size
+Signatures are gathered by task into sheaves: within one, a subset's documents become a star around one of them, which alone goes on (of hot and of
+deleted subsets a few documents go on), so that a family of copies doesn't send a row a copy to one place. Sheaves are dealt out by ranges of
+signatures, and each range is settled by sorting. A range gives stars, and the memberships in hot subsets; these are counted by document, and only
+documents with more of them than their band has to spare meet there.
+
+Sharing a signature makes candidates, never links. Candidates are kept as stars (document, another document of the
+signature), contracted to clusters. The sets of a cluster are cut by size into classes, so that linking sets are in one class or in two neighbouring
+ones, and classes into blocks of bounded size; blocks are compared in pairs
 by counting matrix products: exact intersections, no pair rows. A block returns a spanning forest of its links and
 the number of links of each member. Documents with equal sets are one class throughout.
 
 Sets are compared as 64-bit shingle hashes, classes by 128 bits.
 
 Defined results: null and empty texts have no shingles, link with nothing and are their own component; fewer words
-than a shingle make one shingle of all; rows that share a doc_id count as one document for links, each keeping
-its own n_shingles (unique doc_ids are expected: such rows' sets may all serve as links of that id); a row whose doc_id is null takes part through its class only, and its component is null if no
-other row has its set. Only the two named columns are read.
+than a shingle make one shingle of all; rows that share a doc_id are one document, which links with all that any of them links with, each row keeping
+its own n_shingles and n_links; a row whose doc_id is null takes part through its class only, and its component is null if no
+other row has its set; texts of any length are read whole. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -33,16 +40,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidgraph.llm.common import MIX_A, MIX_B, U64, arrow_schema, components, map_batches, materialize, mix, signed, tidied, word_chunks
 
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-#: Upper sizes of bands grow by this factor; members compared in one block.
-BAND_GROWTH, BLOCK = 1.4, 256
-#: Subsets of so few elements tell little; cost of a pair that meets by chance, in signatures.
-TINY, PAIR_COST = 1, 50.0
+#: Upper sizes of bands grow by this factor (from DENSE percent on, or below); members compared in one block.
+BAND_GROWTH, FINE_GROWTH, DENSE, BLOCK = 1.4, 1.2, 88, 256
+#: Expected elements of a subset from which one of a single element counts as tiny, as empty ones do; cost of a pair that meets by chance, in signatures.
+FULL, PAIR_COST = 4.0, 50.0
+#: A subset of at most SMALL elements is hot if more than HOT documents have it; of deleted subsets alone, a task sends CROWD documents on.
+HOT, SMALL, CROWD = 1, 5, 32
+#: Signatures and documents of a sheaf, signatures of a range; the bits of a signature that are kept, beside its range.
+SHEAF, SHEAF_DOCS, RANGE, KEPT_BITS = 1 << 20, 60_000, 1 << 20, 40
+#: Flags in the lowest bits of a signature: of a subset without one of its elements; of a subset that may be hot.
+DELETED, MAY_BE_HOT = U64(1), U64(2)
 
 
 def _sequences(h: np.ndarray, k: int) -> np.ndarray:
@@ -72,11 +85,11 @@ class Bands:
     """Size bands and the difference bound of each, for a threshold of percent / 100."""
 
     def __init__(self, percent: int):
-        self.percent, self.highs = percent, [1]
+        self.percent, self.highs, self.growth = percent, [1], BAND_GROWTH if percent >= DENSE else FINE_GROWTH
 
     def _grow(self, size: int) -> None:
         while self.highs[-1] < size:
-            self.highs.append(max(self.highs[-1] + 1, int(self.highs[-1] * BAND_GROWTH)))
+            self.highs.append(max(self.highs[-1] + 1, int(self.highs[-1] * self.growth)))
 
     def of(self, size: int) -> int:
         self._grow(size)
@@ -92,13 +105,30 @@ class Bands:
         return range(self.of(max(1, -(-size * self.percent // 100))), self.of(size) + 1)
 
 
-def tiny_share(mean: float) -> float:
-    """Share of segments with TINY elements or fewer, if `mean` are expected."""
-    return math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(TINY + 1))
+def tiny(mean: float) -> int:
+    """Elements that a tiny subset has at most, if `mean` are expected."""
+    return int(mean >= FULL)
+
+
+def hot_spare(spare: int) -> int:
+    """Of the agreements to spare: hot subsets from which on a set meets others in them. Tiny ones take the rest."""
+    return 1 + spare // 3
+
+
+def tiny_spare(spare: int) -> int:
+    """Tiny subsets from which on a set tells them."""
+    return spare + 1 - hot_spare(spare)
+
+
+def _below(n: int, p: float, k: int) -> float:
+    """Chance that fewer than k of n are hit, each with chance p."""
+    if n > 60 and n * p > 8:
+        return 0.5 * math.erfc((n * p - k + 0.5) / math.sqrt(2 * n * p * (1 - p)))
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(min(k, n + 1)))
 
 
 @lru_cache(4096)
-def allocate(bound: int, high: int, n_docs: int) -> tuple[int, int, int]:
+def allocate(bound: int, high: int, n_docs: int, growth: float = BAND_GROWTH) -> tuple[int, int, int]:
     """(exact, deleting, spare): numbers of segments with allowance 0 and 1 and of agreements to spare, with
     exact + 2 * deleting = bound + spare, that cost least for n_docs sets of up to `high` elements: signatures written, and PAIR_COST
     for each pair that is expected to meet because a subset of both is empty."""
@@ -108,24 +138,21 @@ def allocate(bound: int, high: int, n_docs: int) -> tuple[int, int, int]:
         while spare < bound + 3:
             spare += 1 + spare // 6
             exact = bound + spare - 2 * deleting
-            mean = high / BAND_GROWTH / (exact + deleting)
-            p = min(tiny_share(mean), 1 - 1e-12)
-            few = sum(math.exp(math.lgamma(exact + 1) - math.lgamma(k + 1) - math.lgamma(exact - k + 1) + k * math.log(p) + (exact - k) * math.log1p(-p)) for k in range(min(spare, exact + 1)))
-            all_told = max(0.0, 1 - few)  # sets with so many tiny subsets that these have to be told
+            mean = high / growth / (exact + deleting)
+            p = min(math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(tiny(mean) + 1)), 1 - 1e-12)
+            all_told = max(0.0, 1 - _below(exact, p, tiny_spare(spare)))  # sets with so many tiny subsets that these have to be told
             chance = math.exp(-2 * mean) * (exact * all_told**2 + deleting * (1 + 2 * mean))
             cost = n_docs * (exact + deleting * (2 + mean)) + PAIR_COST * n_docs * n_docs / 2 * chance
             if not best or cost < best[0]:
                 best = (cost, exact, deleting, spare)
-            elif cost > 1.2 * best[0] and spare > best[3] + 3:
-                break
     return best[1:]
 
 
-def signatures(s: np.ndarray, plans: dict[int, tuple[int, int, int]], bands: Bands) -> np.ndarray:
-    """All signatures of a set: for each band that it joins, a hash of every segment's subset, and for segments with
-    allowance 1 also a hash of that subset without each of its elements. Tiny subsets of segments with allowance 0 are
-    left out if there are fewer of them than agreements to spare."""
-    out = []
+def told(s: np.ndarray, plans: dict[int, tuple[int, int, int]], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a set, flags in their lowest bits, and the band of each: for each band that it joins, a hash of every segment's subset,
+    and for segments with allowance 1 also a hash of that subset without each of its elements. Tiny subsets of segments
+    with allowance 0 are left out if there are few enough of them."""
+    out, at = [], []
     element = mix(s * MIX_A + MIX_B)
     with np.errstate(over="ignore"):
         for band in bands.joined(len(s)):
@@ -137,16 +164,151 @@ def signatures(s: np.ndarray, plans: dict[int, tuple[int, int, int]], bands: Ban
             sums = np.zeros(m, U64)
             np.add.at(sums, segment, element)
             salt = mix((U64(band) << U64(32)) + np.arange(m, dtype=U64))
-            tell = np.bincount(segment, minlength=m) > TINY
+            sizes = np.bincount(segment, minlength=m)
+            tell = sizes > tiny(bands.highs[band] / bands.growth / m)
             tell[exact:] = True
-            if m - np.count_nonzero(tell) >= spare:
+            if m - np.count_nonzero(tell) >= tiny_spare(spare):
                 tell[:] = True
-            out.append(mix(sums + salt)[tell])
+            small = sizes <= SMALL
+            small[exact:] = False
+            found = [(mix(sums + salt) & ~U64(3) | np.where(small, MAY_BE_HOT, U64(0)))[tell]]
             if deleting:
                 inside = segment >= exact
-                at = segment[inside]
-                out.append(mix(sums[at] - element[inside] + salt[at]))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, U64)
+                of = segment[inside]
+                found.append(mix(sums[of] - element[inside] + salt[of]) & ~U64(3) | DELETED)
+            out += found
+            at.append(np.full(sum(map(len, found)), band, np.uint8))
+    return (np.concatenate(out), np.concatenate(at)) if out else (np.empty(0, U64), np.empty(0, np.uint8))
+
+
+def signatures(s: np.ndarray, plans: dict[int, tuple[int, int, int]], bands: Bands) -> np.ndarray:
+    """The signatures of a set, without flags."""
+    return np.unique(told(s, plans, bands)[0] & ~U64(3))
+
+
+def _groups(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted signatures: where each group starts, its size, and each one's place in its group. Whole subsets come before deleted ones."""
+    start = np.flatnonzero(np.r_[True, sig[1:] >> U64(1) != sig[:-1] >> U64(1)]) if len(sig) else np.empty(0, np.int64)
+    size = np.diff(start, append=len(sig))
+    return start, size, np.arange(len(sig)) - np.repeat(start, size)
+
+
+def _once(*columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows."""
+    if not len(columns[0]):
+        return list(columns)
+    order = np.lexsort(columns)
+    columns = tuple(c[order] for c in columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return [c[new] for c in columns]
+
+
+def _range_of(sig: np.ndarray, ranges: int) -> np.ndarray:
+    return ((sig >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
+
+
+def _hot_key(at: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Names a hot subset by its range and the kept bits."""
+    return signed(mix((at.astype(U64) << U64(KEPT_BITS)) ^ (sig & U64((1 << KEPT_BITS) - 1))))
+
+
+SHEAVES = "at long, docs binary, doc binary, sigs binary, bands binary, stars binary, hot binary"
+
+
+class Sheaf:
+    """Signatures of some documents, on their way to their ranges."""
+
+    def __init__(self, ranges: int):
+        self.ranges = ranges
+        self.clear()
+
+    def clear(self) -> None:
+        self.docs, self.sigs, self.bands, self.size = [], [], [], 0
+
+    def add(self, doc: int, sigs: np.ndarray, bands: np.ndarray) -> bool:
+        """Whether the sheaf is full."""
+        if len(sigs):
+            self.docs.append(doc)
+            self.sigs.append(sigs)
+            self.bands.append(bands)
+            self.size += len(sigs)
+        return self.size >= SHEAF or len(self.docs) >= SHEAF_DOCS
+
+    def out(self) -> pa.RecordBatch:
+        """SHEAVES: for each range the documents, and of each signature its document, kept bits and band; stars (two documents each); and
+        memberships in subsets that are hot already (document, subset, band)."""
+        docs = np.array(self.docs, np.int64)
+        doc = np.repeat(np.arange(len(docs)), [len(x) for x in self.sigs])
+        sig, band = np.concatenate(self.sigs), np.concatenate(self.bands)
+        self.clear()
+        order = np.argsort(sig, kind="stable")
+        sig, doc, band = sig[order], doc[order], band[order]
+        start, size, place = _groups(sig)
+        first, of = np.repeat(start, size), np.repeat(size, size)
+        small, whole = (sig & MAY_BE_HOT) != 0, (sig[first] & DELETED) == 0
+        many = of > CROWD
+        goes_on = np.where(small, place <= HOT, (place == 0) | ~whole & ~many)
+        star, hot = ~small & (place > 0) & (whole | many), small & ~goes_on
+        at = _range_of(sig, self.ranges)  # rises with sig
+        stars = np.stack([docs[doc[star]], docs[doc[first[star]]]], axis=1)
+        hots = np.stack([docs[doc[hot]], _hot_key(at[hot], sig[hot]), band[hot].astype(np.int64)], axis=1)
+        names, low = np.unique(at, return_index=True)
+        high = np.append(low[1:], len(at))
+        kept_upto, star_upto, hot_upto = (np.concatenate([[0], np.cumsum(x)]) for x in (goes_on, star, hot))
+        sig, doc, band = sig[goes_on], doc[goes_on], band[goes_on]
+        kept = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT_BITS // 8]
+        rows: list[tuple] = []
+        for name, a, b in zip(names.tolist(), low.tolist(), high.tolist(), strict=True):
+            part = slice(kept_upto[a], kept_upto[b])
+            by_doc = np.argsort(doc[part], kind="stable")  # neighbours alike: compresses well
+            who, where = np.unique(doc[part], return_inverse=True)
+            s, h = slice(star_upto[a], star_upto[b]), slice(hot_upto[a], hot_upto[b])
+            rows.append((name, docs[who].tobytes(), where[by_doc].astype(np.uint16).tobytes(), kept[part][by_doc].tobytes(), band[part][by_doc].tobytes(), np.stack(_once(*stars[s].T), axis=1).tobytes(), hots[h].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_schema(SHEAVES), strict=True)], schema=arrow_schema(SHEAVES))
+
+
+FOUND = "hot boolean, a long, b long, band int"
+
+
+def _settle_ranges(batches):
+    """Sheaves sorted by range -> FOUND: stars (two documents), and memberships in hot subsets (document, subset, band)."""
+    schema = arrow_schema(FOUND)
+    open_: list[tuple] = []
+    at = None
+
+    def found(stars: np.ndarray, hots: np.ndarray) -> pa.RecordBatch:
+        a, b = _once(stars[:, 0], stars[:, 1])
+        n, m = len(a), len(hots)
+        columns = np.repeat([False, True], [n, m]), np.concatenate([a, hots[:, 0]]), np.concatenate([b, hots[:, 1]]), np.concatenate([np.zeros(n, np.int32), hots[:, 2].astype(np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def close() -> pa.RecordBatch:
+        docs = np.concatenate([np.frombuffer(d, np.int64)[np.frombuffer(w, np.uint16)] for d, w, *_ in open_])
+        bits = np.frombuffer(b"".join(x[2] for x in open_), np.uint8).reshape(-1, KEPT_BITS // 8)
+        sig = np.zeros((len(bits), 8), np.uint8)
+        sig[:, : KEPT_BITS // 8] = bits
+        sig, band = sig.reshape(-1).view("<u8").astype(U64), np.frombuffer(b"".join(x[3] for x in open_), np.uint8)
+        order = np.argsort(sig, kind="stable")
+        sig, docs, band = sig[order], docs[order], band[order]
+        start, size, place = _groups(sig)
+        first, of = np.repeat(start, size), np.repeat(size, size)
+        hot = ((sig & MAY_BE_HOT) != 0) & (of > HOT)
+        star = ~hot & (place > 0) & ((sig[first] & DELETED) == 0) & (docs != docs[first])
+        stars = [np.stack([docs[star], docs[first[star]]], axis=1), *(np.frombuffer(x[4], np.int64).reshape(-1, 2) for x in open_)]
+        hots = [np.stack([docs[hot], _hot_key(np.full(int(hot.sum()), at), sig[hot]), band[hot].astype(np.int64)], axis=1), *(np.frombuffer(x[5], np.int64).reshape(-1, 3) for x in open_)]
+        open_.clear()
+        return found(np.concatenate(stars), np.concatenate(hots))
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if row[0] != at:
+                if open_:
+                    yield close()
+                at = row[0]
+            open_.append(row[1:])
+    if open_:
+        yield close()
 
 
 def blocks_of(members: list[np.ndarray], percent: int) -> np.ndarray:
@@ -185,41 +347,48 @@ def settle(links: np.ndarray) -> np.ndarray:
         label = after
 
 
+LINKS = "a long, b long, links long, k1 long"
+
+
 def _verify(percent: int):
-    """Reads rows (task, block, part, copies, rep, set) sorted by task and returns its links: (a, b, links)."""
-    schema = arrow_schema("a long, b long, links long")
-
-    def one(rows) -> dict:
-        rows.sort(key=lambda r: r[2])
-        links = blocks_of([r[4] for r in rows], percent)
-        reps, copies = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-        part = np.array([r[1] for r in rows])
-        counted = links if (part == part[0]).all() else links & (part[:, None] != part[None, :])
-        counted = counted & ~np.eye(len(rows), dtype=bool)
-        return {"a": reps, "b": reps[settle(links)], "links": counted @ copies}
+    """Reads rows (task, side, rep, copies, k1, set) sorted by task; returns LINKS: a representative, the smallest that it reaches in its
+    task, the rows that its set (of key k1) links with there."""
+    schema = arrow_schema(LINKS)
+
+    def one(rows: list[tuple]) -> list[np.ndarray]:
+        rows = sorted({r[1:3] + (r[4],): r for r in rows}.values(), key=lambda r: r[2])  # repeated rows come again
+        side, reps, copies, k1 = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
+        if len(rows) < 2 or side[0] >= 0 and (side == side[0]).all():
+            return [np.empty(0, np.int64)] * 4
+        links = blocks_of([r[5] for r in rows], percent) & ((side[:, None] != side[None, :]) | (side[0] < 0))
+        np.fill_diagonal(links, True)
+        lowest = settle(links)
+        np.fill_diagonal(links, False)
+        linked = links.any(axis=1)
+        return [x[linked] for x in (reps, reps[lowest], links @ copies, k1)]
 
     def run(batches):
-        open_, at = [], None
-        made = {"a": [], "b": [], "links": []}
+        open_, at, made, size = [], None, [], 0
 
-        def close():
-            if len(open_) > 1:
-                for k, v in one(open_).items():
-                    made[k].append(v)
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*made, strict=True)], schema=schema)
 
         for batch in batches:
-            task, part, rep, copies, sets = (batch.column(i) for i in range(5))
-            for t, p, r, c, s in zip(task.to_pylist(), part.to_pylist(), rep.to_pylist(), copies.to_pylist(), sets, strict=True):
-                if t != at:
-                    close()
-                    open_, at = [], t
-                open_.append((t, p, r, c, s.values.to_numpy(zero_copy_only=False).view(U64)))
-            if sum(map(len, made["a"])) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in made.values()], schema=schema)
-                made = {k: [] for k in made}
-        close()
-        if made["a"]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in made.values()], schema=schema)
+            *columns, sets = (batch.column(i) for i in range(6))
+            for *head, s in zip(*(c.to_pylist() for c in columns), sets, strict=True):
+                if head[0] != at:
+                    if len(open_) > 1:
+                        made.append(one(open_))
+                        size += len(open_)
+                    open_, at = [], head[0]
+                open_.append((*head, s.values.to_numpy(zero_copy_only=False).view(U64)))
+            if size > 20_000:
+                yield out()
+                made, size = [], 0
+        if len(open_) > 1:
+            made.append(one(open_))
+        if made:
+            yield out()
 
     return run
 
@@ -240,64 +409,87 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
     classes = materialize(spark, rows.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     counts = {r.band: r.n for r in rows.where("doc_id is not null").select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).collect()}  # bands: logarithm of the longest text
     bands = Bands(percent)
-    plans = {b: allocate(bands.bound(b), bands.highs[b], n) for b, n in counts.items()}
-
-    def sign(batches):
-        schema = arrow_schema("sig long, doc long")
-        bands, seen = Bands(percent), set()
-        sigs, owners = [], []
+    plans = {b: allocate(bands.bound(b), bands.highs[b], n, bands.growth) for b, n in counts.items()}
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(owners))], schema=schema)
+    expected = sum(n * (plans[b][0] + plans[b][1] + (bands.highs[b] + plans[b][1] if plans[b][1] else 0)) for b, n in counts.items())
+    ranges = min(1 << 31, max(256, -(-expected // RANGE)))
 
+    def sign(batches):
+        bands, seen, sheaf = Bands(percent), set(), Sheaf(ranges)
         for batch in batches:
             for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
                 if not len(s) or (key := set_keys(s)) in seen:
                     continue  # an equal set of this task has written the same signatures
                 if len(seen) < 200_000:
                     seen.add(key)
-                found = signatures(s, plans, bands)
-                if len(found):
-                    sigs.append(found)
-                    owners.append(np.full(len(found), i, np.int64))
-                if len(sigs) >= 1000:
-                    yield out()
-                    sigs, owners = [], []
-        if sigs:
-            yield out()
-
-    signed_rows = texts.where("doc_id is not null").mapInArrow(tidied(sign), "sig long, doc long")
-    stars = signed_rows.withColumn("first", F.min("doc").over(Window.partitionBy("sig"))).where("doc <> first").select("doc", "first")
+                if sheaf.add(i, *told(s, plans, bands)):
+                    yield sheaf.out()
+        if sheaf.size:
+            yield sheaf.out()
+
+    sheaves = texts.where("doc_id is not null").mapInArrow(tidied(sign), SHEAVES)
+    found = materialize(spark, sheaves.repartition("at").sortWithinPartitions("at").mapInArrow(tidied(_settle_ranges), FOUND), "found")
+    hot = found.where("hot").select(F.col("a").alias("doc"), F.col("b").alias("subset"), "band")
+    spares = F.create_map(*[F.lit(x) for b, p in plans.items() for x in (b, hot_spare(p[2]))]) if plans else F.create_map(F.lit(0), F.lit(1))
+    crowded = hot.groupBy("doc", "band").agg(F.count("*").alias("n")).where(F.col("n") >= spares[F.col("band")]).select("doc", "band")
+    meeting = materialize(spark, hot.join(crowded, ["doc", "band"]).select("doc", "subset"), "meeting")
+    centres = materialize(spark, meeting.groupBy("subset").agg(F.min("doc").alias("first")), "centres")  # its own table, so that a hot subset's rows can be split in the join
+    stars = found.where("not hot").select(F.col("a").alias("doc"), F.col("b").alias("first")).union(meeting.join(centres, "subset").select("doc", "first")).where("doc <> first")
     to_rep = rows.where("doc_id is not null and n_shingles > 0").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep")
     a, b = to_rep.toDF("doc", "a"), to_rep.toDF("first", "b")
     candidates = materialize(spark, stars.distinct().join(a, "doc").join(b, "first").where("a <> b").select("a", "b").distinct(), "candidates")
     clusters = components(spark, candidates, "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    weights = classes.where("rep is not null").groupBy("rep").agg(F.sum("copies").alias("copies"))
-    members = materialize(spark, clusters.join(sizes, "cluster").join(weights, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "members")
+    named = classes.where("rep is not null")
+    #: A little more than the ratio of sizes that can link: these are in the same class, or in the next.
+    whole = clusters.groupBy("cluster").agg((F.count("*") <= BLOCK).alias("small"))
+    rank = F.when(F.col("small") | (percent < 1), 0).otherwise(F.floor(F.log(F.col("n_shingles").cast("double")) / (1.001 * math.log(100 / max(1, min(percent, 99))))).cast("int"))
+    members = materialize(spark, clusters.join(whole, "cluster").join(named, "rep").withColumn("rank", rank).drop("small"), "members")
+    sizes = members.groupBy("cluster", "rank").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    beside = [sizes.select("cluster", (F.col("rank") + step).alias("rank"), F.col("parts").alias(name)) for step, name in ((1, "below"), (-1, "above"))]
+    for x in (sizes, *beside):
+        members = members.join(x, ["cluster", "rank"], "left")
+    members = members.fillna(0, ["below", "above"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    members = materialize(spark, members, "placed")
 
     def sets_of(batch):
         for low in range(0, batch.num_rows, 256):
             few = batch.slice(low, 256)
-            sets = list(shingle_sets(few.column(4), k))
-            flat = np.concatenate([*sets, np.empty(0, U64)])
-            offsets = np.cumsum([0, *map(len, sets)])
-            yield {"cluster": few.column(0), "parts": few.column(1), "part": few.column(2), "rep": few.column(3), "copies": few.column(5), "shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(flat)))}
-
-    chosen = texts.join(members, texts.doc_id == members.rep).select("cluster", "parts", "part", "rep", "text", "copies")
-    sets = map_batches(chosen, sets_of, "cluster long, parts int, part int, rep long, copies long, shingles array<long>")
-    #: Every pair of parts of a cluster is one task of two blocks at most.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
-    tasks = sets.withColumn("pair", F.explode(pairs)).select(F.xxhash64("cluster", "pair.i", "pair.j").alias("task"), "part", "rep", "copies", "shingles")
-    links = materialize(spark, tasks.repartition("task").sortWithinPartitions("task").mapInArrow(tidied(_verify(percent)), "a long, b long, links long"), "links")
-    found = components(spark, links.where("a <> b"), "components").select(F.col("node").alias("rep"), "component")
-    degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    by_rep = classes.where("rep is not null").join(found, "rep", "left").join(degree, "rep", "left").select("k1", "k2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+            keys = list(zip(few.column("k1").to_pylist(), few.column("k2").to_pylist(), strict=True))
+            sets = list(shingle_sets(few.column("text"), k))
+            own = [i for i, x in enumerate(sets) if len(x) and set_keys(x) == keys[i]]  # another text of the same doc_id isn't this class
+            few = few.take(pa.array(own, pa.int64()))
+            flat = np.concatenate([*(sets[i] for i in own), np.empty(0, U64)])
+            offsets = np.cumsum([0, *(len(sets[i]) for i in own)])
+            yield {c: few.column(c) for c in ("cluster", "rank", "parts", "below", "above", "part", "rep", "copies", "k1")} | {"shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(flat)))}
+
+    chosen = texts.join(members, texts.doc_id == members.rep).select("cluster", "rank", "parts", "below", "above", "part", "rep", "copies", "k1", "k2", "text")
+    sets = map_batches(chosen, sets_of, "cluster long, rank int, parts int, below int, above int, part int, rep long, copies long, k1 long, shingles array<long>")
+
+    def tasks_with(parts: str, low: F.Column, i, j, side) -> F.Column:
+        """Of a member: its tasks with each of the `parts` others, named by (lower rank, is the other rank next to it, two parts)."""
+        others = F.sequence(F.lit(0), F.greatest(F.col(parts), F.lit(1)) - 1)
+        made = F.transform(others, lambda o: F.struct(F.xxhash64("cluster", low, F.lit(parts != "parts"), i(o), j(o)).alias("task"), side(o).alias("side")))
+        return F.when(F.col(parts) > 0, made).otherwise(F.array().cast("array<struct<task:bigint,side:int>>"))
+
+    own = F.col("part")
+    #: Every pair of parts is one task of two blocks at most; side: -1 where a part meets itself.
+    met = F.concat(
+        tasks_with("parts", F.col("rank"), lambda o: F.least(own, o), lambda o: F.greatest(own, o), lambda o: F.when(o == own, -1).otherwise((own > o).cast("int"))),
+        tasks_with("above", F.col("rank"), lambda o: own, lambda o: o, lambda o: F.lit(0)),
+        tasks_with("below", F.col("rank") - 1, lambda o: o, lambda o: own, lambda o: F.lit(1)),
+    )
+    tasks = sets.withColumn("met", F.explode(met)).select("met.task", "met.side", "rep", "copies", "k1", "shingles")
+    links = materialize(spark, tasks.repartition("task").sortWithinPartitions("task").mapInArrow(tidied(_verify(percent)), LINKS), "links")
+    several = to_rep.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most").select("doc_id", "b")  # of doc_ids with different texts
+    same = to_rep.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    found = components(spark, links.where("a <> b").select("a", "b").union(same), "components").select(F.col("node").alias("rep"), "component")
+    degree = links.groupBy(F.col("a").alias("rep"), "k1").agg(F.sum("links").alias("links"))
+    by_rep = classes.join(found, "rep", "left").join(degree, ["rep", "k1"], "left").select("k1", "k2", "n_shingles", "copies", F.coalesce("component", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     result = rows.join(by_rep, ["k1", "k2", "n_shingles"], "left")
     return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """docs without the documents whose component holds a smaller doc_id; rows without doc_id stay."""
-    gone = jaccard_components(spark, docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = jaccard_components(spark, docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -73,6 +73,134 @@ def test_join_near_copies(spark, seed, monkeypatch):
     assert kept == sorted({r[2] for r in plain_components(rows)})
 
 
+def plain_documents(rows, k, percent):
+    """(doc_id, size, component, links) of each row, by word sets; rows of one doc_id are one document."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    n, parent = len(rows), list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = [[i != j and bool(sets[i]) and bool(sets[j]) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) for j in range(n)] for i in range(n)]
+    for i in range(n):
+        for j in range(n):
+            if near[i][j] or rows[i][0] is not None and rows[i][0] == rows[j][0] and sets[i] and sets[j]:
+                parent[find(i)] = find(j)
+    out = []
+    for i in range(n):
+        ids = [rows[x][0] for x in range(n) if find(x) == find(i) and rows[x][0] is not None]
+        out.append((rows[i][0], len(sets[i]), min(ids) if ids else None, sum(near[i])))
+    return out
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_join_repeated_rows(spark, k, percent):
+    """Whole rows again, other texts under the same doc_id, null ids, and links through both."""
+    rng = random.Random(percent)
+    rows = awkward.texts() + near_copies(7, 40, 3)
+    rows = [(None if i is None else i + 100 * (i < 40 and n > 60), t) for n, (i, t) in enumerate(rows)]
+    rows += rng.sample([r for r in rows if len(r[1] or "") < 3000], 25) + [(2, "another text of this document " * 3), (700, "another text of this document " * 3), (2, None)]
+    rows += [(rng.choice([101, 105, 120]), rng.choice(rows)[1]) for _ in range(6)]
+    got = [tuple(r) for r in ngram_join.jaccard_components(spark, awkward.documents(spark, rows), k, percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()]
+    want = plain_documents(rows, k, percent)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def shared_passage_rows(seed):
+    """Families of copies around a passage that most documents share."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(30)]
+    rows = []
+    for family in range(14):
+        base = [word() for _ in range(rng.randrange(20, 90))]
+        at = rng.randrange(len(base))
+        base[at:at] = passage[: rng.randrange(10, 31)]
+        for copy in range(rng.choice([1, 2, 8])):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = word()
+            rows.append((20 * family + copy, " ".join(words)))
+    return rows
+
+
+def test_join_with_shared_passages(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rows = shared_passage_rows(1)
+    got = [tuple(r) for r in ngram_join.jaccard_components(spark, awkward.documents(spark, rows), 5, 80).select("doc_id", "n_shingles", "component_id", "n_links").collect()]
+    assert sorted(got, key=key) == sorted(plain_documents(rows, 5, 80), key=key)
+
+
+@pytest.mark.parametrize("hot,sheaf,deleting", [(1, 60, 0), (1, 1 << 20, 0), (3, 400, 0), (2, 60, 3)])
+def test_sheaves_lose_no_link(hot, sheaf, deleting, monkeypatch):
+    """Through sheaves and ranges, with hot subsets met only by documents that can't spare them, linking documents stay in one cluster."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "SHEAF", sheaf)
+    for seed in range(6):
+        rows, bands = shared_passage_rows(seed), ngram_join.Bands(80)
+        plans = {}
+        for b in range(60):
+            h, spare = bands.bound(b), 3 + bands.bound(b) // 2
+            few = min(deleting, (h + spare) // 2)
+            plans[b] = (h + spare - 2 * few, few, spare)
+        sets = dict(zip([i for i, _ in rows], ngram_join.shingle_sets(pa.array([t for _, t in rows]), 5), strict=True))
+        made, now = [], ngram_join.Sheaf(8)
+        for i, s in sets.items():
+            if now.add(i, *ngram_join.told(s, plans, bands)):
+                made += now.out().to_pylist()
+        if now.size:
+            made += now.out().to_pylist()
+        made.sort(key=lambda r: r["at"])
+        batches = [pa.RecordBatch.from_pylist(made[k : k + 5], schema=common.arrow_schema(ngram_join.SHEAVES)) for k in range(0, len(made), 5)]
+        found = [r for batch in ngram_join._settle_ranges(batches) for r in batch.to_pylist()]
+        many = Counter((r["a"], r["band"]) for r in found if r["hot"])
+        meeting = defaultdict(set)
+        for r in found:
+            if r["hot"] and many[r["a"], r["band"]] >= ngram_join.hot_spare(plans[r["band"]][2]):
+                meeting[r["b"]].add(r["a"])
+        parent = {i: i for i in sets}
+        for a, b in [(r["a"], r["b"]) for r in found if not r["hot"]] + [(x, min(g)) for g in meeting.values() for x in g]:
+            parent[common.find(parent, a)] = common.find(parent, b)
+        linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(x := np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(x)) and len(x) < max(len(sets[a]), len(sets[b]))]
+        assert len(linked) > 10 and any(r["hot"] for r in found)
+        assert all(common.find(parent, a) == common.find(parent, b) for a, b in linked)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_hot_and_tiny_subsets_can_be_spared(percent):
+    """Linking sets keep a signature in common that is neither left out as tiny nor as hot, whatever shared content is hot."""
+    rng, bands, met = np.random.default_rng(percent), ngram_join.Bands(percent), 0
+    plans = {b: ngram_join.allocate(bands.bound(b), bands.highs[b], 10**7, bands.growth) for b in range(60)}
+    for _ in range(300):
+        size = int(rng.integers(20, 300))
+        a = rng.integers(0, 1 << 62, size, dtype=np.int64).view(np.uint64)
+        less = int(size * (100 - percent) / 200)
+        b = np.unique(np.concatenate([a[int(rng.integers(0, less + 1)) :], rng.integers(0, 1 << 62, int(rng.integers(0, less + 1)), dtype=np.int64).view(np.uint64)]))
+        a = np.unique(a)
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        met += 1
+        hot = rng.random() * 0.8
+        left = []
+        for s in (a, b):
+            sig, band = ngram_join.told(s, plans, bands)
+            is_hot = ((sig & ngram_join.MAY_BE_HOT) != 0) & ((sig >> np.uint64(20)) % np.uint64(1000) < np.uint64(int(1000 * hot)))
+            count = np.bincount(band[is_hot], minlength=60)
+            spares = np.array([ngram_join.hot_spare(plans[x][2]) for x in range(60)])
+            group = sig >> np.uint64(1)  # whole and deleted subsets meet
+            left.append((set(group[~is_hot].tolist()), set(group[is_hot & (count >= spares)[band]].tolist())))
+        assert left[0][0] & left[1][0] or left[0][1] & left[1][1]
+    assert met > 100
+
+
 def test_join_empty(spark):
     assert ngram_join.jaccard_components(spark, awkward.documents(spark, [])).collect() == []
 
@@ -134,6 +262,44 @@ def test_passages(spark, size, monkeypatch):
         assert sum(r[2] for r in got) > 300
 
 
+def test_passages_held_by_most_documents(spark):
+    """A passage in most documents, repeated rows among them, and long texts of one word."""
+    rng = random.Random(5)
+    passage = awkward.prose(rng, 70)
+    rows = [(i, f"{awkward.prose(rng, rng.randrange(30))} {passage} {awkward.prose(rng, rng.randrange(30))}") for i in range(300)]
+    rows += [(400, "same " * 3000), (401, "same " * 200), (402, "same " * 49), *rows[:3]]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(spark, awkward.documents(spark, rows)).collect()]
+    assert sorted(got, key=key) == sorted(plain_repeats(rows, 50), key=key)
+
+
+def test_pairs_are_kept_whatever_the_task(monkeypatch):
+    """Every pair whose minimiser several documents have is kept, from one task or many; few others are."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [(i, np.unique(rng.integers(0, 3000, 40)).tolist() + [7_000_000 + i]) for i in range(120)]
+    true = Counter(m for _, mins in rows for m in mins)
+    for chunk in (1 << 20, 500, 30):
+        monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+        schema = pa.schema([("doc_id", pa.int64()), ("mins", pa.list_(pa.int64()))])
+        batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "mins": m} for i, m in rows[k : k + 10]], schema=schema) for k in range(0, 120, 10)]
+        pairs = [b for b in substring_dedup._by_block(3)(batches)]
+        table = pd.concat([b.to_pandas() for b in pairs])
+        parts = pd.DataFrame(substring_dedup._sketch(pa.RecordBatch.from_pandas(table[table.block >= 0], preserve_index=False)))
+        stream = []
+        for block, part in parts.groupby("block"):
+            bits = substring_dedup._merge(part).iloc[0]
+            stream.append({"block": block, "is_pairs": False, "one": bits["bits0"], "two": bits["bits1"]})
+            stream += [{"block": block, "is_pairs": True, "one": r.docs, "two": r["items"]} for _, r in table[table.block == block].iterrows()]
+        kept = [x for b in substring_dedup._estimated([pa.RecordBatch.from_pylist(stream[k : k + 2]) for k in range(0, len(stream), 2)]) for x in zip(b["doc_id"].to_pylist(), b["item"].to_pylist(), strict=True)]
+        for _, r in table[table.block < 0].iterrows():
+            kept += list(zip(np.frombuffer(r.docs, np.int64).tolist(), np.frombuffer(r["items"], np.int64).tolist(), strict=True))
+        once = {(i, m) for i, mins in rows for m in mins}
+        # one pair of a minimiser that a task has twice stands for the others of that task
+        assert {(i, m) for i, m in once if true[m] > 1} <= set(kept) <= once and len(set(kept)) < len(once) - 100
+
+
 def test_passages_empty(spark):
     assert substring_dedup.remove_repeats(spark, awkward.documents(spark, [])).collect() == []
 

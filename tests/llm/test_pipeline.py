@@ -1,18 +1,61 @@
-"""The pipeline against a plain version, stage by stage."""
+"""The pipeline against plain versions of its stages."""
 
 import random
 import re
+import zlib
+from collections import defaultdict
 
 import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
-from braidgraph.llm import decontaminate, language_id
-from tests.llm.test_joins import plain_components, plain_lines
+from braidgraph.llm import language_id
+from tests.llm.test_joins import plain_documents, plain_lines
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_windows(text):
+    """Gram sets of the windows of a text: letters in lower case, all else one space."""
+    letters = " " + re.sub(r"(?:[\W\d_])+", " ", text.lower()) if text else ""
+    if not re.search(r"[^\W\d_]", letters):
+        return []
+    n = -(-len(letters) // language_id.WINDOW)
+    cut = [k * len(letters) // n for k in range(n + 1)]
+    return [{x[i : i + k] for k in range(1, 5) for i in range(len(x) - k + 1)} for x in (letters[a : b + 3] for a, b in zip(cut, cut[1:], strict=False))]
+
+
+def plain_language(rows):
+    """(best language, score) of each text by kernel ridge regression over a few hundred labelled windows, without hashes or landmarks."""
+    known = [(plain_windows(t), k) for i, t, k in rows if t and k and i is not None and zlib.crc32(str(i).encode()) % 5]
+    known = [(w[0], k) for w, k in known if w]
+    names = sorted({k for _, k in known})
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    weight = np.array([len(known) / sum(k == x for _, x in known) / len(names) for _, k in known])
+    matrix = np.array([[kernel(a, b) for b, _ in known] for a, _ in known]) + np.diag(language_id.RIDGE * len(known) / weight)
+    solved = np.linalg.solve(matrix, np.array([[1.0 if k == x else -1.0 for x in names] for _, k in known]))
+    out = []
+    for _, t, _ in rows:
+        found = [np.array([kernel(w, b) for b, _ in known]) @ solved for w in plain_windows(t)]
+        mean = np.mean(found, axis=0) if found else None
+        out.append((names[int(mean.argmax())], float(np.clip((mean.max() + 1) / 2, 0, 1))) if found else ("und", 0.0))
+    return out
+
+
+def plain_fold(text):
+    return re.sub(r"(?:[\W_])+", " ", text.lower()).strip()
+
+
+def plain_distance(item, text):
+    """Least edit distance of an item to any part of a text."""
+    a, b = (np.array([ord(c) for c in x]) for x in (item, text))
+    row, step = np.zeros(len(b) + 1, np.int64), np.arange(len(b) + 1)
+    for c in a:
+        below = np.concatenate([[row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + (b != c))])
+        row = np.minimum.accumulate(below - step) + step
+    return int(row.min())
+
+
 def test_stages_and_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, now = docs.columns, docs
@@ -24,17 +67,23 @@ def test_stages_and_run(spark):
         assert all(r.n_chars == len(r.text) for r in rows)
         states.append(sorted((r.doc_id, r.text) for r in rows))
     before, language, lines, near, clean = states
-    model = language_id.fit(spark, docs)
-    spectra = [(r, language_id.spectrum(r[1])) for r in before]
-    names, scores = model.predict(np.array([s for _, s in spectra if s is not None]))
-    assert language == [r for (r, _), s in zip([x for x in spectra if x[1] is not None], scores, strict=True) if s >= corpus_pipeline.LEAST_SCORE]
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    judged = plain_language([(i, t, lang[i]) for i, t in before])
+    assert [r for r in before if r in set(language)] == language
+    for r, (k, score) in zip(before, judged, strict=True):  # close calls aside, the same rows go
+        assert (r in language) == (k != "und" and score >= corpus_pipeline.LEAST_SCORE) or abs(score - corpus_pipeline.LEAST_SCORE) < 0.1
     assert len(language) > 0.95 * len(before)
     plain = plain_lines(language, 10, 75, 8)
     assert lines == sorted((i, t) for i, t, _, dropped in plain if not dropped or re.search(r"[^\x20\x09-\x0D]", t))
-    keep = {c for _, _, c, _ in plain_components(lines)}
+    keep = {c for _, _, c, _ in plain_documents(lines, 5, 80)}
     assert near == [r for r in lines if r[0] in keep]
-    index = decontaminate.build([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
-    assert clean == [r for r in near if not decontaminate.hits(decontaminate.fold(r[1]), index)]
+    items = [plain_fold(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text]
+    rng = random.Random(0)
+    for i, t in near:
+        folded = plain_fold(t)
+        gone = (i, t) not in clean
+        some = items if gone else [x for x in items if x in folded] or rng.sample(items, 3)  # all items against what went; what stayed holds none as it stands
+        assert gone == any(plain_distance(x, folded) <= len(x) * 8 // 100 for x in some)
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert sorted({p.doc_id for p in pieces}) == [i for i, _ in clean]
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
@@ -79,6 +128,40 @@ def test_odd_columns(spark):
         assert ids == ({1, None, 10} if given is docs else set())  # 11 to 19 are one line template with 10
 
 
+def test_any_column_names(spark):
+    """Names with dots and backticks, and those that stages use themselves."""
+    names = ["a.b", "__dropped", "__language", "__Gone", "x``y", "__doc", "__new", "__places", "__keys", "key", "first", "band"]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    rows = [(i, f"the words of text number {i} here and there", "en", "s", 9, *range(12)) for i in range(12)] + [(50, "another text of words to be kept here", "en", "s", 1, *range(12, 24)), (None,) * 17]
+    docs = spark.createDataFrame(rows, ddl)
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == docs.columns
+        assert {(r[0], *r[5:]) for r in now.collect()} == {(0, *range(12)), (50, *range(12, 24))} or len(now.collect()) == 13
+    assert {r[0] for r in now.collect()} == {0, 50}
+    assert sum(p.length for p in corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()) > 0
+
+
+def test_long_texts_stay(spark):
+    """Texts of up to 30,000 words, with 30 percent unknown words, keep their place through the first stage; a million blanks pass the last."""
+    rng = random.Random(8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = defaultdict(list)
+    for r in docs.where("text is not null and lang is not null").collect():
+        words[r.lang] += r.text.split()
+    made = []
+    for n, (k, known) in enumerate(sorted(words.items())):
+        for m, size in enumerate((10, 1_000, 30_000)):
+            made.append((10_000 + 10 * n + m, " ".join(rng.choice(known) if rng.random() < 0.7 else "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(size)), None, "s", 1))
+    made.append((20_000, "some words of the text" + " " * 1_200_000 + "and the end of it", None, "s", 1))
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = corpus_pipeline.language(spark, more, SF).where("doc_id >= 10000")
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {m[0] for m in made}
+    pieces = corpus_pipeline.pack(spark, kept, SF).collect()
+    assert {p.doc_id for p in pieces} == {m[0] for m in made}
+
+
 def test_registered():
     names = list(__spark_entry__.queries())
     assert [len([n for n in names if n.startswith(f"op{i}_")]) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
