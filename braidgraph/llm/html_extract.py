@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from braidgraph.llm.common import map_batches, materialize
 
 _tag = re.compile(r"/?[A-Za-z][^\s/>]*")
+#: A tag without < or > in its quotes: looked at no further than the next of these.
+_plain_tag = re.compile(r"""<(/?)([A-Za-z][^\s/<>"']*)((?:[^<>"']|"[^"<>]*"|'[^'<>]*')*)>""")
 _quote = re.compile("[\"']")
 _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _digits = re.compile(r"\d+")
@@ -144,6 +146,8 @@ class Tags:
     def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
         source = self.source
         while (start := self._after("<", at)) >= 0:
+            if m := _plain_tag.match(source, start):
+                return start, m.end(), m[1] == "/", m[2].lower(), m[3]
             if source.startswith("<!--", start):
                 end = self._after("-->", start + 4)
                 return start, end + 3 if end >= 0 else len(source), False, "", ""
