@@ -110,6 +110,28 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+#: Bits of a table of ids for each of them, and in all; rows of such a table have BITS_ROW.
+BITS_EACH, MOST_BITS, BITS_ROW = 16, 1 << 28, 1 << 15
+
+
+def id_bits(spark: SparkSession, ids: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A bit table of the ids (long) of a column, and how many bits it has: small enough to be sent to every task, whatever their number."""
+    n = min(MOST_BITS, max(BITS_ROW, -(-BITS_EACH * ids.count() // BITS_ROW) * BITS_ROW))
+    at = F.pmod(F.xxhash64(F.col(column)), F.lit(n))
+    made = ids.where(F.col(column).isNotNull()).select(at.alias("at")).groupBy(F.expr(f"at div {BITS_ROW}").alias("__row"))
+    return materialize(spark, made.agg(F.expr(f"bitmap_construct_agg(at % {BITS_ROW})").alias("__bits")), "bits"), n
+
+
+def may_hold(df: DataFrame, key: Column, bits: tuple[DataFrame, int], negate: bool = False) -> DataFrame:
+    """Rows of df whose key is in the bit table: all whose key is one of its ids, and a few others. negate: all rows that aren't these."""
+    table, n = bits
+    at = F.pmod(F.xxhash64(key.cast("long")), F.lit(n))
+    inside = F.pmod(at, F.lit(BITS_ROW))
+    byte = F.conv(F.hex(F.substring(table["__bits"], F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = key.isNotNull() & (F.floor(at / BITS_ROW) == table["__row"]) & (F.getbit(byte, F.pmod(inside, F.lit(8)).cast("int")) == 1)
+    return df.join(F.broadcast(table), set_, "left_anti" if negate else "left_semi")  # BITS_EACH bits an id
+
+
 def utf8(column: pa.Array) -> list:
     """The texts of a string column as bytes (None where null)."""
     return column.cast(pa.binary()).to_pylist()

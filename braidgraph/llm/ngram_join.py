@@ -18,7 +18,8 @@ signatures, and each range is settled by sorting. A range gives stars, and the m
 documents with more of them than their band has to spare meet there.
 
 Sharing a signature makes candidates, never links. Candidates are kept as stars (document, another document of the
-signature), contracted to clusters. The sets of a cluster are cut by size into classes, so that linking sets are in one class or in two neighbouring
+signature), contracted to clusters. Passages that many documents share chain these to clusters that grow with the input, so clusters above a block
+are contracted anew, from the shingles that their sets have in common (`closer`). The sets of a cluster are cut by size into classes, so that linking sets are in one class or in two neighbouring
 ones, and classes into blocks of bounded size; blocks are compared in pairs
 by counting matrix products: exact intersections, no pair rows. A block returns a spanning forest of its links and
 the number of links of each member. Documents with equal sets are one class throughout.
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidgraph.llm.common import MIX_A, MIX_B, U64, arrow_schema, components, map_batches, materialize, mix, signed, tidied, word_chunks
+from braidgraph.llm.common import MIX_A, MIX_B, U64, arrow_schema, components, id_bits, map_batches, materialize, may_hold, mix, signed, tidied, word_chunks
 
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Upper sizes of bands grow by this factor (from DENSE percent on, or below); members compared in one block.
@@ -393,6 +394,44 @@ def _verify(percent: int):
     return run
 
 
+def closer(spark: SparkSession, large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(rep, cluster) of the sets (rep, cluster, k1, k2) of large clusters that may link with another one, in clusters as small or smaller.
+
+    Sets of which one has n shingles link only if they share percent / 100 * n of them. So, with the shingles of a cluster in one order, they share one
+    among the first n * (1 - percent / 100) + 1 of each. The order is by how many sets of the cluster have a shingle, rare ones first: those
+    of one set alone come first of all and meet nobody. Links are looked for among these first shingles' stars; none is lost.
+    """
+
+    def sets_of(batch):
+        for few, sets in own_sets(batch, k):
+            yield {c: few.column(c) for c in ("cluster", "rep", "k1")} | {"shingles": sets}
+
+    chosen = texts.join(large, texts.doc_id == large.rep).select("cluster", "rep", "k1", "k2", "text")
+    sets = materialize(spark, map_batches(chosen, sets_of, "cluster long, rep long, k1 long, shingles array<long>").distinct(), "large-sets")
+    held = sets.select("cluster", "rep", "k1", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    common = held.groupBy("cluster", "shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    found = held.join(common, ["cluster", "shingle"]).groupBy("cluster", "rep", "k1", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("shared"))
+    first = F.expr(f"n - ceil(n * {percent}L / 100) + 1").cast("long") - (F.col("n") - F.size("shared"))  # without the shingles that no other set has
+    met = materialize(spark, found.select("cluster", "rep", F.explode(F.slice("shared", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("at")).select("cluster", "rep", F.col("at.shingle").alias("shingle")), "large-met")
+    centres = met.groupBy("cluster", "shingle").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = materialize(spark, met.join(centres, ["cluster", "shingle"]).select(F.col("rep").alias("a"), "b").distinct(), "large-edges")
+    joined = components(spark, edges.where("a <> b"), "closer").select(F.col("node").alias("rep"), "component")
+    # texts of one doc_id that meet nobody else still meet each other
+    return edges.select(F.col("a").alias("rep")).union(edges.select("b")).distinct().join(joined, "rep", "left").select("rep", F.coalesce("component", "rep").alias("cluster"))
+
+
+def own_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Rows (k1, k2, text, ..) in small parts with their sets; another text of the same doc_id isn't the class that a row names and goes."""
+    for low in range(0, batch.num_rows, 256):
+        few = batch.slice(low, 256)
+        keys = list(zip(few.column("k1").to_pylist(), few.column("k2").to_pylist(), strict=True))
+        sets = list(shingle_sets(few.column("text"), k))
+        own = [i for i, x in enumerate(sets) if len(x) and set_keys(x) == keys[i]]
+        flat = np.concatenate([*(sets[i] for i in own), np.empty(0, U64)])
+        offsets = np.cumsum([0, *(len(sets[i]) for i in own)])
+        yield few.take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(flat)))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (rows that it
     links with, those with an equal set included)."""
@@ -440,6 +479,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
     candidates = materialize(spark, stars.distinct().join(a, "doc").join(b, "first").where("a <> b").select("a", "b").distinct(), "candidates")
     clusters = components(spark, candidates, "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     named = classes.where("rep is not null")
+    #: Only the texts of candidates are dealt out.
+    near = may_hold(texts, F.col("doc_id"), id_bits(spark, clusters, "rep"))
+    before = math.inf
+    while percent > 0:
+        large = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cluster"), "cluster")
+        large = materialize(spark, large.join(named, "rep").select("rep", "cluster", "k1", "k2"), "large")
+        n = large.count()
+        if n == 0 or n > 0.9 * before:
+            break
+        before = n
+        smaller = closer(spark, large, near, k, percent)
+        clusters = materialize(spark, clusters.join(large.select("cluster").distinct(), "cluster", "left_anti").select("rep", "cluster").union(smaller), "closer")
     #: A little more than the ratio of sizes that can link: these are in the same class, or in the next.
     whole = clusters.groupBy("cluster").agg((F.count("*") <= BLOCK).alias("small"))
     rank = F.when(F.col("small") | (percent < 1), 0).otherwise(F.floor(F.log(F.col("n_shingles").cast("double")) / (1.001 * math.log(100 / max(1, min(percent, 99))))).cast("int"))
@@ -452,17 +503,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
     members = materialize(spark, members, "placed")
 
     def sets_of(batch):
-        for low in range(0, batch.num_rows, 256):
-            few = batch.slice(low, 256)
-            keys = list(zip(few.column("k1").to_pylist(), few.column("k2").to_pylist(), strict=True))
-            sets = list(shingle_sets(few.column("text"), k))
-            own = [i for i, x in enumerate(sets) if len(x) and set_keys(x) == keys[i]]  # another text of the same doc_id isn't this class
-            few = few.take(pa.array(own, pa.int64()))
-            flat = np.concatenate([*(sets[i] for i in own), np.empty(0, U64)])
-            offsets = np.cumsum([0, *(len(sets[i]) for i in own)])
-            yield {c: few.column(c) for c in ("cluster", "rank", "parts", "below", "above", "part", "rep", "copies", "k1")} | {"shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(flat)))}
-
-    chosen = texts.join(members, texts.doc_id == members.rep).select("cluster", "rank", "parts", "below", "above", "part", "rep", "copies", "k1", "k2", "text")
+        for few, sets in own_sets(batch, k):
+            yield {c: few.column(c) for c in ("cluster", "rank", "parts", "below", "above", "part", "rep", "copies", "k1")} | {"shingles": sets}
+
+    chosen = near.join(members, near.doc_id == members.rep).select("cluster", "rank", "parts", "below", "above", "part", "rep", "copies", "k1", "k2", "text")
     sets = map_batches(chosen, sets_of, "cluster long, rank int, parts int, below int, above int, part int, rep long, copies long, k1 long, shingles array<long>")
 
     def tasks_with(parts: str, low: F.Column, i, j, side) -> F.Column:
@@ -491,5 +535,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 3, percent
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """docs without the documents whose component holds a smaller doc_id; rows without doc_id stay."""
-    gone = jaccard_components(spark, docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = materialize(spark, jaccard_components(spark, docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    bits = id_bits(spark, gone, "__gone")
+    doubtful = may_hold(docs, docs["doc_id"], bits)
+    return may_hold(docs, docs["doc_id"], bits, negate=True).union(doubtful.join(gone, doubtful["doc_id"] == gone["__gone"], "left_anti"))
