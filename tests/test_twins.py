@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidgraph import catalogue
+from braidgraph.functions import storage
 from braidgraph.functions.pattern import Pattern
 from braidgraph.operators.stream import attach_updates
 from braidgraph.plans import compiler, twins
@@ -42,7 +43,7 @@ def test_counts(spark, monkeypatch, p, small):
     plain = {by: sorted(tuple(r) for r in compiler.match_table(start, p, False).groupBy(f"v{by}").count().collect()) for by in (0, 1, 3)}
     assert want and plain[0]
     if small:
-        for name, n in (("EDGES_A_TASK", 20), ("WEDGES_A_TASK", 10), ("PAIRS_AT_ONCE", 3), ("ENTRIES_AN_EDGE", 0), ("ENTRIES_A_ROUND", 8)):
+        for name, n in (("EDGES_A_TASK", 20), ("WEDGES_A_TASK", 10), ("PAIRS_AT_ONCE", 3), ("ENTRIES_AN_EDGE", 0), ("ENTRIES_AN_INTERVAL_EDGE", 0), ("ENTRIES_A_ROUND", 8)):
             monkeypatch.setattr(twins, name, n)
         assert compiler.counted_twins(instances, p, True).rounds > 1
     for mode in MODES[:1] if small else MODES:
@@ -77,3 +78,11 @@ def test_twins_only_where_they_are_hidden_and_fewer(spark):
     assert compiler.counted_twins(edges, catalogue.SAME_SUPPLIER, False) is not None
     some = edges.where(F.col("elabel") != 3)
     assert compiler.counted_twins(some, catalogue.SAME_SUPPLIER, False) is None
+
+
+def test_updates_leave_one_copy(spark, tmp_path, monkeypatch):
+    """The rows that were numbered go from the shared folder when their numbers are written."""
+    monkeypatch.setattr(testgraph, "_written", {})
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    n = testgraph.updates(spark, "/root/testdata/sf0.001").count()
+    assert n == testgraph.updates(spark, "/root/testdata/sf0.001").count() > 0 and len(list(tmp_path.glob("table-*"))) == 1
